@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import line_dedup, packing, sharding, token_counts
+from loomwright.llm import decontamination, line_dedup, packing, sharding, token_counts
 from loomwright.llm.store import read_table
 
 
@@ -42,11 +42,25 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    out = decontamination.find_contamination(docs, items, window=10).withColumn("n_hit", decontamination.n_hit())
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_sharding": op7_sharding,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {}

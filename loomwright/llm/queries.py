@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import decontamination, line_dedup, packing, sharding, token_counts
+from loomwright.llm import decontamination, line_dedup, packing, sharding, simhash, token_counts
 from loomwright.llm.store import read_table
 
 
@@ -28,6 +28,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = simhash.near_duplicates(docs, shingle=4, max_distance=4)
+    return out.withColumn("fingerprint", simhash.hex_fingerprint())
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard_by_bytes(docs, shards=24)
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_sharding": op7_sharding,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import decontamination, embedding_dedup, line_dedup, packing, sharding, simhash, substring_dedup, token_counts
+from loomwright.llm import decontamination, embedding_dedup, line_dedup, packing, sharding, simhash, substring_dedup, token_counts, toxicity
 from loomwright.llm.store import read_table
 
 
@@ -58,6 +58,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    out = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels), threshold=0.3)
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     out = decontamination.find_contamination(docs, items, window=10).withColumn("n_hit", decontamination.n_hit())
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_sharding": op7_sharding,
+    "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 

@@ -98,23 +98,26 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> tuple
     """
     every = np.column_stack([votes, given])
     said = np.stack([every == v for v in (-1, 0, 1)]).astype(np.float32)
-    post = np.where(given == 1, 0.95, 0.05)
+    post = np.where(given == 1, 0.98, 0.02)
     correlation = np.eye(every.shape[1])
     for _ in range(rounds):
         # How often each voter says what in each class, smoothed.
         table = np.stack([said.transpose(0, 2, 1) @ p + 0.5 for p in (1 - post, post)])
         table /= table.sum(axis=1, keepdims=True)
         prior = (post.sum() + 1) / (len(post) + 2)
-        # Correlations within a class, of what is left of the votes after the class is known.
+        # Correlations within a class, of what is left of the votes after the class is known. Rows count in their
+        # likelier class alone: shares of a row in both would make every two good voters look alike.
         left = 0.0
-        for p, t in ((1 - post, table[0]), (post, table[1])):
-            rest = (said[2] - said[1] - (t[2] - t[1])) * np.sqrt(p)[:, None]
+        for mine in (post <= 0.5, post > 0.5):
+            rest = (said[2] - said[1])[mine]
+            rest = rest - (rest.mean(axis=0) if len(rest) else 0)
             left = left + rest.T @ rest
         spread = np.sqrt(np.maximum(np.diag(left), 1e-9))
         correlation = left / spread[:, None] / spread[None, :]
         repeated = np.maximum(correlation - np.eye(len(correlation)), 0)
-        weight = 1 / (1 + np.where(repeated > 0.1, repeated, 0).sum(axis=1))
+        weight = 1 / (1 + np.where(repeated > 0.3, repeated, 0).sum(axis=1))
         evidence = np.log(table[1] / table[0]) * weight
+        evidence[0] = 0  # saying nothing is no evidence: that all lexicon voters are silent is a voter of its own
         z = np.log(prior / (1 - prior)) + sum(said[v] @ evidence[v] for v in range(3))
         fresh = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if np.abs(fresh - post).max() < 1e-4:
@@ -126,7 +129,7 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> tuple
     return post, right / np.maximum((clean | toxic).sum(axis=0), 1), correlation
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept for soft labels, by Adam on the whole sample."""
     w, b = np.zeros(x.shape[1]), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -198,13 +201,24 @@ def fit(
         share = (toxic + 0.5) / (clean + toxic + 1)
         return Model(intercept=float(np.log(share / (1 - share))))
 
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    # Signed likelihood-ratio statistic of "has the feature" against "is toxic".
+    rows = clean + toxic
+    has, lacks = F.col("toxic") + F.col("clean"), F.lit(rows) - F.col("toxic") - F.col("clean")
+    g = sum(
+        part(F.col(c), has * n / rows) + part(F.lit(n) - F.col(c), lacks * n / rows) for c, n in (("toxic", toxic), ("clean", clean))
+    )
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    ranked = counts.where("f != '' and toxic + clean >= 4").select("f", odds.alias("odds"), (odds / doubt).alias("z"))
-    told = ranked.orderBy(F.desc("z"), "f").limit(features - features // 5).collect()
-    told += ranked.where("z < 0").orderBy("z", "f").limit(features // 5).collect()
+    ranked = counts.where("f != '' and toxic + clean >= 4").select("f", odds.alias("odds"), (2 * g * F.signum(odds)).alias("g"))
+    told = ranked.where("g > 10").orderBy(F.desc("g"), "f").limit(features - features // 5).collect()
+    told += ranked.where("g < -10").orderBy("g", "f").limit(features // 5).collect()
     names = list(dict.fromkeys(r.f for r in told))
-    n_voters = sum(r.odds > 2.5 and r.z > 3 for r in told[:voters])
+    # Voters come first among the features: sure ones only, as far as the ranking goes.
+    sure = {r.f for r in told[:voters] if r.odds > 2.5 and r.g > 15}
+    names.sort(key=lambda f: f not in sure)
+    n_voters = len(sure)
     place = {f: i for i, f in enumerate(names)}
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import decontamination, embedding_dedup, line_dedup, packing, sharding, simhash, substring_dedup, token_counts, toxicity
+from loomwright.llm import decontamination, embedding_dedup, line_dedup, packing, pii, sharding, simhash, substring_dedup, token_counts, toxicity
 from loomwright.llm.store import read_table
 
 
@@ -77,6 +77,11 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs, secret_key="loomwright-demo-key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}

@@ -42,13 +42,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     spark = links.sparkSession
     links = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u != v")
     schema = links.schema
-    path, before = None, None
+    # A round reads its links more than once; what finds them runs once.
+    path, before = store.save(links, "links"), None
+    links = spark.read.schema(schema).parquet(path)
     for _ in range(max_rounds):
         after = store.save(_small_star(_large_star(links)), "links")
         links = spark.read.schema(schema).parquet(after)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if path:
-            store.drop(spark, path)
+        store.drop(spark, path)
         path = after
         if now == before:
             return links

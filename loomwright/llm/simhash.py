@@ -34,7 +34,7 @@ from loomwright.llm import store, words
 from loomwright.llm.components import components
 
 _ONE = np.uint64(1)
-_FRONTIER = 1 << 19  # pairs of nodes that are expanded at once
+_FRONTIER = 1 << 17  # pairs of nodes that are expanded at once; a level holds back a few times as many
 
 
 def _normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, words.Words]:
@@ -112,11 +112,11 @@ def self_join(leaves: np.ndarray, bounds: np.ndarray, depth: int, budget: int) -
     """
     n = len(leaves)
     label = np.arange(n)
-    lo, hi = bounds[:-1], bounds[1:]
+    lo, hi = bounds[:-1].astype(np.int32), bounds[1:].astype(np.int32)
     many = hi - lo > 1
-    start = np.stack([lo[many], hi[many], lo[many], hi[many], np.zeros(many.sum(), np.int64)])
-    stack = [(depth, start)]
+    stack = [(depth, np.stack([lo[many], hi[many], lo[many], hi[many], np.zeros(many.sum(), np.int32)]))]
     changes = np.arange(n)
+    set_bits: dict[int, np.ndarray] = {}  # by level: leaves before each place whose bit is set
     while stack:
         level, pairs = stack.pop()
         if pairs.shape[1] > _FRONTIER:
@@ -136,21 +136,22 @@ def self_join(leaves: np.ndarray, bounds: np.ndarray, depth: int, budget: int) -
         if level == 64 or not go.any():
             continue
         a, a_end, b, b_end, diff = pairs[:, go]
-        ones = np.concatenate([[0], np.cumsum((leaves >> np.uint64(63 - level)) & _ONE, dtype=np.int64)])
+        if level not in set_bits:
+            bit = ((leaves >> np.uint64(63 - level)) & _ONE).astype(np.int32)
+            set_bits[level] = np.concatenate([np.zeros(1, np.int32), np.cumsum(bit, dtype=np.int32)])
+        ones = set_bits[level]
         a_mid, b_mid = a_end - (ones[a_end] - ones[a]), b_end - (ones[b_end] - ones[b])
         twin = a == b
-        children = [
-            np.stack([a, a_mid, b, b_mid, diff]),
-            np.stack([a_mid, a_end, b_mid, b_end, diff]),
-            np.stack([a, a_mid, b_mid, b_end, diff + 1]),
-            np.stack([a_mid, a_end, b, b_mid, diff + 1])[:, ~twin],
-        ]
-        below = np.concatenate(children, axis=1)
-        below = below[:, (below[0] < below[1]) & (below[2] < below[3]) & (below[4] <= budget)]
-        below = below[:, (below[0] != below[2]) | (below[1] - below[0] > 1)]
-        if below.shape[1]:
-            # Pairs of a node with itself come first: they join what is alike before it is compared.
-            stack.append((level + 1, below[:, np.argsort(below[0] != below[2], kind="stable")]))
+        below = []
+        for left, left_end, right, right_end, more in ((a, a_mid, b, b_mid, 0), (a_mid, a_end, b_mid, b_end, 0), (a, a_mid, b_mid, b_end, 1), (a_mid, a_end, b, b_mid, 1)):
+            live = (left < left_end) & (right < right_end) & (diff + more <= budget)
+            live &= (left != right) | (left_end - left > 1)
+            if left is a_mid and right is b:
+                live &= ~twin  # the mirror image of the pair before
+            below.append(np.stack([x[live] for x in (left, left_end, right, right_end)] + [diff[live] + np.int32(more)]))
+        # Nodes that agree on this level come first: what is alike is joined before it is compared.
+        if any(part.shape[1] for part in below):
+            stack.append((level + 1, np.concatenate(below, axis=1)))
     return label
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import decontamination, embedding_dedup, line_dedup, packing, pii, sharding, simhash, substring_dedup, token_counts, toxicity
+from loomwright.llm.oracles import ORACLES  # noqa: F401  the queries' SQL, for the driver
 from loomwright.llm.store import read_table
 
 
@@ -94,5 +95,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_pii": op10_pii,
 }
-
-ORACLES: dict[str, str] = {}

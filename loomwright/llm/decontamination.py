@@ -11,7 +11,7 @@ other terms in order of their length. A term that a segment lacks ends a window
 that cross documents are dropped. ``slop`` > 0 asks for proximity: all terms of a window, in any
 order, within that many words more than the window has.
 
-Defined cases: a null or wordless text or item has no words and matches nothing; an item shorter
+Defined cases: a row with a null key is searched like any other; a null or wordless text or item has no words and matches nothing; an item shorter
 than a window is one window; repeated items and items with equal texts are all reported; repeated
 documents each match; either table may be empty.
 """
@@ -42,7 +42,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segmen
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = TaskContext.get().partitionId() << 32
         for batch in batches:
-            keys = batch.column("k").to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = batch.column("k").to_numpy()
             for row, data, offsets in words.blocks(batch.column("t"), segment_bytes, lower=True):
                 w = words.split_words(data, offsets, words.LETTERS)
                 docs_here = len(w.first) - 1
@@ -68,7 +68,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segmen
                 )
                 segment += 1
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(store.NO_KEY)).alias("k"), F.col(text).alias("t"))
     return store.materialize(rows.mapInArrow(index, "segment long, term long, postings binary"), "postings")
 
 
@@ -224,7 +224,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     found = found.groupBy("k").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
     none = "cast(array() as array<struct<first:int,last:int>>)"
     joined = every.join(found, "k", "left").select(
-        F.col("k").alias(key),
+        store.restored("k", key),
         "n_words",
         F.expr(f"coalesce({_MERGE}, {none})").alias("hits"),
         F.coalesce(F.array_sort(F.array_distinct("items")), F.array().cast("array<string>")).alias("items"),

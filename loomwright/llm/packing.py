@@ -6,8 +6,8 @@ size; partitions are then merged ``fan_in`` at a time, each merge best-fits its
 passes on what is still underfull, until one node is left.
 
 Defined cases: a null or empty text is a piece that holds the end id only; a text whose ids with the
-end id exceed the capacity is cut so that only its first piece may be short; repeated document ids
-are packed like others; an empty table gives an empty result. Only the key and the text are read.
+end id exceed the capacity is cut so that only its first piece may be short; repeated and null
+document ids are packed like others; an empty table gives an empty result. Only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
                 columns += [pa.array(np.full(len(part), node, np.int64)), pa.array(bins[lo : lo + len(part)]), pa.array(offsets[lo : lo + len(part)])]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(store.NO_KEY)).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
 def pack(
@@ -124,4 +124,4 @@ def pack(
             (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
         )
         items = merged.groupBy("node", F.col("into").alias("bin")).agg(F.max("fill").alias("fill"))
-    return placed.select(key, "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    return placed.select(store.restored(key, key), "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")

@@ -16,8 +16,8 @@ whose leaves already are in one component is dropped too, so dense groups of cop
 square of their size. Connected components over the distinct fingerprints follow.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; fewer words
-than a shingle are one shingle; repeated rows share a fingerprint; an empty table gives an empty
-result; only the key and the text are read.
+than a shingle are one shingle; repeated rows share a fingerprint; a null key is in the
+component of its fingerprint, which is null if no row with a key has that; an empty table gives an empty result; only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, ke
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     marked = store.materialize(rows.mapInArrow(mark, "k long, fp long"), "fingerprints")
     distinct = store.materialize(marked.groupBy("fp").agg(F.min("k").alias("rep")), "distinct-fingerprints")
-    linked = components(link_fingerprints(distinct, max_distance))
+    linked = components(link_fingerprints(distinct.where("rep is not null"), max_distance))
     named = distinct.join(linked.withColumnRenamed("u", "rep"), "rep", "left").select("fp", F.coalesce("v", "rep").alias("component_id"))
     return marked.join(named, "fp").select(F.col("k").alias(key), F.col("fp").alias("fingerprint"), "component_id")
 

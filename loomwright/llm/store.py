@@ -10,7 +10,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Stands for a null key where keys are held as plain 64-bit integers.
+NO_KEY = -(2**63)
 
 _FALLBACK: dict[str, str] = {}
 
@@ -55,3 +59,8 @@ def drop(spark: SparkSession, path: str) -> None:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def restored(key: str, alias: str) -> Column:
+    """A key column in which NO_KEY is null again."""
+    return F.when(F.col(key) != F.lit(NO_KEY), F.col(key)).alias(alias)

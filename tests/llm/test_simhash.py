@@ -72,6 +72,12 @@ def test_near_duplicates_match_brute_force(spark):
     assert len(set(root)) < len(rows) - 20
 
 
+def test_null_keys(spark):
+    rows = [(None, "same text here now"), (4, "same text here now"), (None, "quite another text of no id")]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in out) == [(0, 0), (0, 4), (4, 4)]
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -47,14 +47,14 @@ def test_chunks_are_spliced_exactly(enc):
                 assert enc.encode(text, chunk, overlap).tolist() == enc.lib.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-DOCS = [(1, "hello world again"), (2, None), (3, ""), (4, "word " * 3000), (5, "é<|endoftext|>b"), (5, "hello world again"), (6, "z" * 9000)]
+DOCS = [(1, "hello world again"), (2, None), (3, ""), (4, "word " * 3000), (5, "é<|endoftext|>b"), (5, "hello world again"), (6, "z" * 9000), (None, "no id")]
 
 
 def test_count_tokens(spark, enc):
     df = spark.createDataFrame(DOCS, "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
     out = count_tokens(df, PATH, 1024, chunk_chars=100, overlap_chars=10).collect()
-    want = sorted((i, len((t or "").encode()), len(enc.lib.encode(t or "", add_special_tokens=False).ids)) for i, t in DOCS)
-    assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in out) == want
+    want = sorted((i or 0, len((t or "").encode()), len(enc.lib.encode(t or "", add_special_tokens=False).ids)) for i, t in DOCS)
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in out) == want
     assert all(r.over_limit == (r.n_tokens > 1024) for r in out)
     assert count_tokens(df.limit(0), PATH, 1024).count() == 0
 

@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a partial aggregate and a join on the larger and smaller ends of links, so a node
-with very many links is combined before it is shuffled, and AQE may split it in the join. Links
-never reach the driver: a step reports two sums. Each round is written to the shared folder and
-the round before it is removed.
+with very many links is combined before it is shuffled. In the large-star step, where a node with many
+links sends to all of them, both sides of the join are exchanged anew, so AQE can split such a node's
+rows. Links never reach the driver: a step reports two sums. Each round is written to the shared folder
+and the round before it is removed.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ def _lowest(links: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     """Each larger neighbour v of u is linked to u's lowest neighbour."""
     both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    out = both.where(F.col("v") > F.col("u")).join(_lowest(both), "u")
+    # Read from storage, the lowest neighbours are not partitioned by u, as they would be straight from the aggregate.
+    out = both.where(F.col("v") > F.col("u")).join(store.materialize(_lowest(both), "lowest"), "u")
     return out.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 

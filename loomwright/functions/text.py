@@ -33,6 +33,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def is_blank(c: Column) -> Column:
+    """Null or white space only."""
+    return strip(F.coalesce(c, F.lit(""))) == ""
+
+
 def tokens(c: Column) -> Column:
     """White-space tokens; an empty text has none."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
@@ -47,16 +52,22 @@ def _parts(c: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(c, pattern), strip), lambda x: x != "")
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def segments(c: Column) -> Column:
     """Sentences; if that gives one part only, paragraphs; if that does too, the whole text. Blank: none."""
-    whole = strip(F.coalesce(c, F.lit("")))
-    sentences, paragraphs = _parts(whole, r"(?<=[.!?])\s+"), _parts(whole, r"\n\s*\n")
-    return (
-        F.when(whole == "", F.array().cast("array<string>"))
-        .when(F.size(sentences) > 1, sentences)
-        .when(F.size(paragraphs) > 1, paragraphs)
-        .otherwise(F.array(whole))
-    )
+
+    def paragraphs(whole: Column) -> Column:
+        return bind(_parts(whole, r"\n\s*\n"), lambda p: F.when(F.size(p) > 1, p).otherwise(F.array(whole)))
+
+    def sentences(whole: Column) -> Column:
+        return bind(_parts(whole, r"(?<=[.!?])\s+"), lambda s: F.when(F.size(s) > 1, s).otherwise(paragraphs(whole)))
+
+    none = F.array().cast("array<string>")
+    return bind(strip(F.coalesce(c, F.lit(""))), lambda whole: F.when(whole == "", none).otherwise(sentences(whole)))
 
 
 def is_guarded(c: Column, patterns: list[str] | None = None) -> Column:

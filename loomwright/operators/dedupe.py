@@ -32,9 +32,34 @@ def cluster_cohesion(rows: DataFrame, cluster: str, key: str = "ord", text: str
     return pairs.groupBy(cluster).agg(F.count("*").alias("pairs"), F.avg("overlap").alias("mean_overlap"), F.max("overlap").alias("max_overlap"))
 
 
+def close_pairs(rows: DataFrame, cluster: str, min_overlap: float, key: str = "ord", text: str = "text") -> DataFrame:
+    """(i, j, overlap) for i < j of one cluster with an overlap of at least ``min_overlap``, without comparing all pairs.
+
+    Two sets that overlap so much share one of the first n - ceil(min_overlap * n) + 1 of their n words in any fixed order;
+    the order is that of a hash. Only rows that share such a word, and whose sizes allow the overlap, are compared.
+    """
+    words = rows.select(F.col(cluster).alias("g"), F.col(key).alias("k"), word_set(F.col(text)).alias("w")).where(F.size("w") > 0)
+    sets = keep(words, "word-sets")
+    n = F.size("w")
+    # A little below the threshold, so that rounding loses no pair.
+    need = n - F.ceil(n * F.lit(min_overlap - 1e-9)).cast("int") + 1
+    first = F.slice(F.array_sort(F.transform("w", lambda x: F.xxhash64(x))), F.lit(1), F.least(n, F.greatest(F.lit(1), need)))
+    marks = sets.select("g", "k", n.alias("n"), F.explode(F.array_distinct(first)).alias("h"))
+    a, b = marks.alias("a"), marks.alias("b")
+    alike = (F.col("a.g") == F.col("b.g")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.k") < F.col("b.k"))
+    sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(min_overlap - 1e-9)
+    pairs = a.join(b, alike & sized).select(F.col("a.k").alias("i"), F.col("b.k").alias("j")).distinct()
+    left, right = sets.select(F.col("k").alias("i"), F.col("w").alias("x")), sets.select(F.col("k").alias("j"), F.col("w").alias("y"))
+    compared = pairs.join(left, "i").join(right, "j").select("i", "j", jaccard(F.col("x"), F.col("y")).alias("overlap"))
+    return compared.where(F.col("overlap") >= min_overlap)
+
+
 def drop_near_duplicates(rows: DataFrame, cluster: str, max_overlap: float = 0.92, key: str = "ord", text: str = "text") -> DataFrame:
-    """Keeps a row if its overlap with every kept earlier row of its cluster is below ``max_overlap``."""
-    close = overlaps(rows, cluster, key, text).where(F.col("overlap") >= max_overlap).select("i", "j")
+    """Keeps a row if its overlap with every kept earlier row of its cluster is below ``max_overlap``.
+
+    Keys are unique. Rows without words overlap with nothing.
+    """
+    close = close_pairs(rows, cluster, max_overlap, key, text).select("i", "j")
     state = first_independent_set(rows.select(F.col(key).alias("k")), keep(close, "close-pairs"))
     return rows.join(state.where("leader").select(F.col("k").alias(key)), key, "left_semi")
 

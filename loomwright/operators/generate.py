@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.text import strip
 
-# Openings by which a text counts as conditional already, and verbs that allow a passive.
+# Openings by which a text counts as conditional already, verbs that allow a passive, and what is put first.
 _CONDITIONAL = ["if ", "when ", "given "]
+CONDITIONAL_LEAD = "Given the input below, "
+PASSIVE_LEAD = "The following task should be completed: "
 ACTION_VERBS = ["write", "create", "generate", "produce", "provide", "list", "identify", "find", "extract", "determine", "classify", "translate"]
 
 #: Our own wordings, from which a hash of the text picks.
@@ -30,7 +32,7 @@ def _picked(text: Column, options: list[str], seed: int) -> Column:
 def conditional(text: Column) -> Column:
     """'Given the input below, ...'; null for a text that is conditional already."""
     starts = [F.lower(text).startswith(p) for p in _CONDITIONAL]
-    return F.when(~(starts[0] | starts[1] | starts[2]), F.concat(F.lit("Given the input below, "), _lowered(text), F.lit(".")))
+    return F.when(~(starts[0] | starts[1] | starts[2]), F.concat(F.lit(CONDITIONAL_LEAD), _lowered(text), F.lit(".")))
 
 
 def purpose(text: Column, seed: int = 42) -> Column:
@@ -41,7 +43,7 @@ def purpose(text: Column, seed: int = 42) -> Column:
 def passive(text: Column) -> Column:
     """'The following task should be completed: ...'; null unless the text starts with an action verb."""
     verb = F.lower(text).rlike("^(?:" + "|".join(ACTION_VERBS) + ")")
-    return F.when(verb, F.concat(F.lit("The following task should be completed: "), _lowered(text), F.lit(".")))
+    return F.when(verb, F.concat(F.lit(PASSIVE_LEAD), _lowered(text), F.lit(".")))
 
 
 def output_first(text: Column, seed: int = 42) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.functions.text import preview, strip
+from loomwright.functions.text import is_blank, preview, strip
 
 #: Roles whose every message is processed.
 COMPRESSIBLE = ["system"]
@@ -13,11 +13,6 @@ COMPRESSIBLE = ["system"]
 USER_ROLES = ["human", "user", "Human", "User", "from"]
 
 
-def is_blank(c: Column) -> Column:
-    """Null or white space only."""
-    return strip(F.coalesce(c, F.lit(""))) == ""
-
-
 def route(messages: DataFrame, roles: list[str] | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Adds processed (this message goes through the pipeline) and recorded (it stands for its request).
 

@@ -64,7 +64,10 @@ def _anchors(w: words.Words, hashes: np.ndarray, window: int, anchor: int) -> tu
 
 
 def _find_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(h, rk, rt, lo, hi): window starts lo to hi, as word numbers of the document, have anchor h."""
+    """(h, rk, rt, lo, hi, n): window starts lo to hi, as word numbers of the document, have anchor h at n places.
+
+    Where a text repeats a few words, one anchor follows the other with the same hash: such a run is one row.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,29 +76,33 @@ def _find_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 w = words.split_words(data, offsets, words.SPACED)
                 h, place, lo, hi = _anchors(w, w.hashes(), window, anchor)
                 doc = np.searchsorted(w.first, place, side="right") - 1
+                run = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else doc
+                n = np.diff(np.append(run, len(h)))
+                h, doc, lo, hi = h[run], doc[run], lo[run], hi[run + n - 1]
                 base = w.first[doc]
-                columns = [h.view(np.int64), rk[row + doc], rt[row + doc], (lo - base).astype(np.int32), (hi - base).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "rk", "rt", "lo", "hi"])
+                columns = [h.view(np.int64), rk[row + doc], rt[row + doc], *[x.astype(np.int32) for x in (lo - base, hi - base, n)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "rk", "rt", "lo", "hi", "n"])
 
-    return docs.mapInArrow(find, "h long, rk long, rt int, lo int, hi int")
+    return docs.mapInArrow(find, "h long, rk long, rt int, lo int, hi int, n int")
 
 
 def _repeated(anchors: DataFrame, hot: int, partitions: int) -> DataFrame:
-    """Those rows whose anchor occurs more than once; is_hot where it occurs more than ``hot`` times."""
+    """Those rows whose anchor occurs more than once; is_hot where more than ``hot`` rows have it."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by h. A run stays open over batches, with its first ``hot`` rows at most.
+        # Rows come sorted by h. The last run of a batch stays open, with its first ``hot`` rows at most.
         held: list[pa.RecordBatch] = []
         last, run_hot = None, False
 
         def with_flag(rows: pa.RecordBatch, flags) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(flags, pa.bool_())], [*rows.schema.names, "is_hot"])
+            columns = [rows.column(c) for c in ("h", "rk", "rt", "lo", "hi")]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(flags, pa.bool_())], ["h", "rk", "rt", "lo", "hi", "is_hot"])
 
         def close() -> Iterator[pa.RecordBatch]:
-            n = sum(len(x) for x in held)
-            if n > 1 or run_hot:
+            rows = sum(len(x) for x in held)
+            if run_hot or sum(x.column("n").to_numpy().sum() for x in held) > 1:
                 for x in held:
-                    yield with_flag(x, np.full(len(x), run_hot or n > hot))
+                    yield with_flag(x, np.full(len(x), run_hot or rows > hot))
             held.clear()
 
         for batch in batches:
@@ -115,11 +122,11 @@ def _repeated(anchors: DataFrame, hot: int, partitions: int) -> DataFrame:
                     yield from close()
                 run_hot = False
                 size = np.diff(np.append(cut, len(h)))
-                inner = np.repeat(size, size)
-                inner[len(inner) - size[-1] :] = 0
-                pick = np.flatnonzero(inner > 1)
+                places = np.add.reduceat(batch.column("n").to_numpy().astype(np.int64), cut)
+                closed = np.arange(len(cut)) < len(cut) - 1
+                pick = np.flatnonzero(np.repeat(closed & (places > 1), size)) + cut[0]
                 if len(pick):
-                    yield with_flag(batch.slice(cut[0]).take(pa.array(pick)), inner[pick] > hot)
+                    yield with_flag(batch.take(pa.array(pick)), np.repeat(size, size)[pick - cut[0]] > hot)
                 held.append(batch.slice(cut[-1]))
                 if size[-1] > hot:
                     run_hot = True

@@ -34,7 +34,7 @@ def data(seed):
             if rng.random() < 0.3 and w:
                 w[rng.randrange(len(w))] = rng.choice(vocab)
         rows.append((i, rng.choice([" ", "\n", " \t"]).join(w)))
-    rows += [(200, None), (201, ""), (202, " \n"), (203, "a " * 50), (204, "long " + "z" * 9000), (7, rows[7][1]), (7, "other text of the same id"), (None, rows[3][1])]
+    rows += [(200, None), (201, ""), (202, " \n"), (203, "a " * 50), (205, "x y " * 30), (206, "q " + "p1 p2 " * 40 + "r"), (207, "p1 p2 " * 12), (204, "long " + "z" * 9000), (7, rows[7][1]), (7, "other text of the same id"), (None, rows[3][1])]
     return rows
 
 

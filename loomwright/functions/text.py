@@ -28,9 +28,13 @@ PROTECTED_TOKEN_PARTS = ["not", "n't", "no", "never", "must", "should", "return"
 MAX_RATIO = 0.90
 
 
+#: What the patterns below call white space.
+_SPACE = " \t\n\u000b\f\r"
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(_SPACE))
 
 
 def is_blank(c: Column) -> Column:
@@ -40,7 +44,8 @@ def is_blank(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """White-space tokens; an empty text has none."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
+    body = strip(F.coalesce(c, F.lit("")))
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
 
 
 def token_count(c: Column) -> Column:

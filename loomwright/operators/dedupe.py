@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import jaccard, word_set
-from loomwright.operators.storage import keep
+from loomwright.operators.storage import keep, spread
 from loomwright.operators.unify import first_independent_set
 
 
@@ -38,7 +38,8 @@ def close_pairs(rows: DataFrame, cluster: str, min_overlap: float, key: str = "o
     Two sets that overlap so much share one of the first n - ceil(min_overlap * n) + 1 of their n words in any fixed order;
     the order is that of a hash. Only rows that share such a word, and whose sizes allow the overlap, are compared.
     """
-    words = rows.select(F.col(cluster).alias("g"), F.col(key).alias("k"), word_set(F.col(text)).alias("w")).where(F.size("w") > 0)
+    rows = spread(rows.select(F.col(cluster).alias("g"), F.col(key).alias("k"), F.col(text).alias("t")))
+    words = rows.select("g", "k", word_set(F.col("t")).alias("w")).where(F.size("w") > 0)
     sets = keep(words, "word-sets")
     n = F.size("w")
     # A little below the threshold, so that rounding loses no pair.

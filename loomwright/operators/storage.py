@@ -23,3 +23,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/loomwright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A smaller input may be one row group, which is one task whatever the cluster; above, its splits are many.
+SPREAD_BYTES = 512 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a small input to all cores; a larger one is left as it is read.
+
+    For narrow work that is worth more than the shuffle of at most SPREAD_BYTES by the plan's estimate.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

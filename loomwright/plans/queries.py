@@ -12,6 +12,7 @@ from loomwright.functions.text import is_guarded, jaccard, mean_or_zero, preview
 from loomwright.functions.vectors import hashed_words
 from loomwright.operators import compress as compressing
 from loomwright.operators import dedupe, generate, metrics, routing, scoring, unify
+from loomwright.operators.storage import spread
 from loomwright.plans import pipeline
 from loomwright.plans.oracles import ROUNDED
 from loomwright.sources import prompts as sources
@@ -50,14 +51,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def segments(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    segs = scoring.split(docs).groupBy("doc_id").agg(F.count("*").alias("s"), F.sum("token_count").alias("t"))
+    segs = scoring.split(spread(docs)).groupBy("doc_id").agg(F.count("*").alias("s"), F.sum("token_count").alias("t"))
     zero = F.lit(0).cast("long")
     return docs.select("doc_id").join(segs, "doc_id", "left").select("doc_id", F.coalesce("s", zero).alias("n_segments"), F.coalesce("t", zero).alias("n_tokens"))
 
 
 @query
 def guarded_segments(spark, sf_dir):
-    segs = scoring.split(_documents(spark, sf_dir), max_length=64).where(is_guarded(F.col("segment")))
+    segs = scoring.split(spread(_documents(spark, sf_dir)), max_length=64).where(is_guarded(F.col("segment")))
     return segs.select("doc_id", "idx", preview(F.col("segment"), 120).alias("preview"), "token_count", "truncated")
 
 
@@ -317,7 +318,7 @@ def unstemmed_overlap(spark, sf_dir):
 @query
 def rouge_scores(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    done = compressing.compress(docs).join(docs, "doc_id")
+    done = spread(compressing.compress(docs).join(docs, "doc_id"))
     return done.select("doc_id", rouge_l(F.col("text"), F.col("compressed")).alias("rouge_l"))
 
 

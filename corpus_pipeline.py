@@ -10,12 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import decontamination, line_dedup, packing, simhash, store, toxicity
+from loomwright.llm import decontamination, line_dedup, near_copies, packing, store, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 CAPACITY, END_ID = 1024, 2
-#: Of the near-dedup stage: words of a shingle, and differing bits of 64 at most. Shingle sets with a Jaccard
-#: similarity of 0.8 differ in some 9 bits on average, unrelated ones in 32.
+#: Of the near-dedup stage: words of a shingle, and differing bits of 64 of a first guess. Shingle sets with a Jaccard
+#: similarity of 0.8 differ in some 9 bits on average, so pairs beyond the guess are found by shared shingles.
 SHINGLE, DISTANCE = 5, 8
 
 
@@ -33,7 +33,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest id."""
-    groups = simhash.near_duplicates(docs, shingle=SHINGLE, max_distance=DISTANCE)
+    groups = near_copies.near_copies(docs, shingle=SHINGLE, max_distance=DISTANCE)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 

@@ -28,12 +28,19 @@ from loomwright.llm.components import components
 
 _SKETCH = 512
 _SAMPLE, _COMMON = 20_000, 100_000  # rows sampled for the order; shingles it puts last
-_CHUNK = 1 << 21  # pairs compared at once
+_CHUNK = 1 << 18  # pairs compared at once
+_BYTES, _ROWS = 1 << 18, 1024  # texts handled at once
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(0, len(batch), _ROWS):
+            yield batch.slice(row, _ROWS)
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    for _, data, offsets in words.blocks(column, lower=True):
+    for _, data, offsets in words.blocks(column, _BYTES, lower=True):
         w = words.split_words(data, offsets, words.SPACED)
         hashes = w.hashes()
         grams = words.gram_hashes(hashes, shingle)
@@ -57,7 +64,7 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
     """(k, node, n, sketch, fp) of each row."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [(_node(s), len(s), _sketch(s)) for s in shingle_sets(batch.column("t"), shingle)]
             node, n, sketch = zip(*sets, strict=True) if sets else ((), (), ())
             fp = simhash.fingerprints(batch.column("t"), shingle).view(np.int64)
@@ -86,7 +93,7 @@ def _plant(docs: DataFrame, common: np.ndarray, shingle: int) -> DataFrame:
     known = common[order]
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[tuple[np.ndarray, ...]] = []
             for s in shingle_sets(batch.column("t"), shingle):
                 rank = np.full(len(s), -1)
@@ -180,12 +187,12 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int)
     """Those of the pairs of nodes whose sets have a similarity of 4/5 or more."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = list(shingle_sets(batch.column("t"), shingle))
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "s"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             yes = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
@@ -220,7 +227,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, max_distance: int = 8, key: s
     shared = store.materialize(_shared(_plant(rows_with_key, common, shingle), partitions), "shared-shingles")
     seen = shared.join(nodes.select("node", "sketch"), "node")
     stars = _pairs(seen.withColumn("label", F.col("node")), partitions, True)
-    links = _similar(stars, rows_with_key, nodes, shingle).unionAll(store.materialize(guessed, "guessed"))
+    links = _similar(stars.unionAll(guessed), rows_with_key, nodes, shingle)
     joined = components(links).withColumnRenamed("u", "node").withColumnRenamed("v", "to")
     labelled = seen.join(joined, "node", "left").withColumn("label", F.coalesce("to", "node")).drop("to")
     links = links.unionAll(_similar(_pairs(labelled, partitions, False), rows_with_key, nodes, shingle))

@@ -39,3 +39,38 @@ def test_pairs_at_the_threshold_are_found(spark):
         if jaccard(" ".join(a), " ".join(b)) >= 0.8:
             texts += [" ".join(a), " ".join(b)]
     assert kept(spark, texts) == set(range(0, 160, 2))
+
+
+def test_only_similar_texts_go(spark):
+    rng, make = corpus(4)
+    line = make(10)
+    texts = [None, "", " \n", "hendtion ates thble a, inreor heoning.", " ".join(line * 7), " ".join(line * 8), "one two", "One  two", "two one"]
+    for _ in range(300):
+        texts.append(" ".join(make(6)))
+    base = make(60)
+    for size in (12, 5, 3, 2):  # the same text at similarities on both sides of the threshold
+        other = list(base)
+        other[-size:] = make(size)
+        texts.append(" ".join(other))
+    group = make(120)
+    for _ in range(120):  # a group that is dense in parts
+        other = list(group)
+        for at in rng.sample(range(120), rng.randint(1, 5)):
+            other[at] = rng.choice("xyz")
+        texts.append(" ".join(other))
+    first = list(range(len(texts)))
+
+    def root(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    sets = [shingles(t) for t in texts]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            x, y = root(i), root(j)
+            if x != y and (5 * len(a & sets[j]) >= 4 * len(a | sets[j]) if a | sets[j] else True):
+                first[max(x, y)] = min(x, y)
+    want = {i for i in range(len(texts)) if first[i] == i}
+    assert {0, 3, 4, 6, 8} <= want
+    assert kept(spark, texts) == want

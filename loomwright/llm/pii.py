@@ -34,7 +34,7 @@ _SECRET = r"(?:password|passwd|pwd|secret|token|api[_-]?key)"
 #: Patterns by kind.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?i:" + _SECRET + r")\s{0,2}[=:]\s{0,2}[\"']?[^\s\"',;]{6,256}",
+    "secret": r"(?i:" + _SECRET + r")\s{0,2}[=:]\s{0,2}[\"']?[^\s\"',;]{6,}+",
     "cloud_key": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -132,16 +132,20 @@ _DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMN
 
 def _like(value: Column, stream: Column, hexadecimal: Column | None = None) -> Column:
     """Digits for digits, letters for letters of the same case; other characters stay."""
-    pick = lambda alphabet, i: F.substring(F.lit(alphabet), _at(stream, i) % len(alphabet) + 1, F.lit(1))
+    pick = lambda alphabet, i, s: F.substring(F.lit(alphabet), _at(s, i) % len(alphabet) + 1, F.lit(1))
     hexadecimal = F.lit(False) if hexadecimal is None else hexadecimal
-    one = lambda c, i: (
-        F.when(hexadecimal, pick("0123456789abcdef", i))
-        .when(c.rlike("[0-9]"), pick(_DIGITS, i))
-        .when(c.rlike(r"\p{Lu}"), pick(_UP, i))
-        .when(c.rlike(r"\p{L}"), pick(_LOW, i))
+    one = lambda c, i, s: (
+        F.when(hexadecimal, pick("0123456789abcdef", i, s))
+        .when(c.rlike("[0-9]"), pick(_DIGITS, i, s))
+        .when(c.rlike(r"\p{Lu}"), pick(_UP, i, s))
+        .when(c.rlike(r"\p{L}"), pick(_LOW, i, s))
         .otherwise(c)
     )
-    return F.array_join(F.transform(_chars(value), one), "")
+    # In pieces of 256, each with its part of the stream, as a place far into a long string is slow to reach.
+    starts = F.sequence(F.lit(0), F.floor((F.char_length(value) - 1) / 256).cast("int"))
+    pieces = F.transform(starts, lambda k: F.struct(F.substring(value, 256 * k + 1, F.lit(256)).alias("v"), F.substring(stream, 512 * k + 1, F.lit(512)).alias("s")))
+    like = F.transform(pieces, lambda p: F.array_join(F.transform(_chars(p["v"]), lambda c, i: one(c, i, p["s"])), ""))
+    return F.when(F.char_length(value) > 0, F.array_join(like, "")).otherwise(value)
 
 
 # Sounds that invented names are made of, by script.

@@ -176,6 +176,8 @@ def surrogate(key: str, kind: Column, unit: Column, attempt: Column) -> Column:
     """The attempt's surrogate of a canonical unit, in canonical form."""
     stream = F.col("__stream")
     plain = _like(unit, stream)
+    # Short mailboxes and domains run out: from the eighth attempt on they get longer.
+    more = _like(F.repeat(F.lit("a"), F.greatest(attempt - 7, F.lit(0))), F.sha2(stream, 256))
     label = F.regexp_extract(unit, r"^(.*)(\.[^.]*)$", 1)
     octet = lambda i, n, base: (_at(stream, F.lit(i)) % n + base).cast("string")
     body = F.concat(F.substring(unit, 1, 1), F.substring(plain, F.lit(2), F.char_length(unit) - 2))
@@ -189,8 +191,8 @@ def surrogate(key: str, kind: Column, unit: Column, attempt: Column) -> Column:
     local = F.when(F.substring(unit, code + 1, F.lit(1)).isin("0", "1"), F.substring(unit, code + 1, F.lit(1))).otherwise((_at(stream, code) % 8 + 2).cast("string"))
     phone = F.concat(F.substring(unit, F.lit(1), code), local, F.substring(plain, code + 2, F.char_length(unit)))
     return (
-        F.when(kind == "mailbox", _like(F.split_part(unit, F.lit("@"), F.lit(1)), stream))
-        .when(kind == "domain", F.concat(_like(label, stream), F.regexp_extract(unit, r"(\.[^.]*)$", 1)))
+        F.when(kind == "mailbox", F.concat(_like(F.split_part(unit, F.lit("@"), F.lit(1)), stream), more))
+        .when(kind == "domain", F.concat(_like(label, stream), more, F.regexp_extract(unit, r"(\.[^.]*)$", 1)))
         .when(kind == "secret", _like(unit, stream, unit.rlike("^[0-9a-f]+$")))
         .when(kind == "cloud_key", F.concat(F.substring(unit, 1, 4), F.substring(plain, F.lit(5), F.char_length(unit))))
         .when(kind == "ip", F.concat_ws(".", octet(0, 223, 1), octet(1, 256, 0), octet(2, 256, 0), octet(3, 254, 1)))
@@ -212,24 +214,25 @@ def _fill(form: Column, value: Column) -> Column:
 def assign(units: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """(kind, unit, surrogate) for distinct (kind, unit): surrogates are distinct within a kind and no unit of it.
 
-    Mailboxes are compared with their domain left out, so an address is new whatever its domain becomes.
+    Mailboxes are compared within their domain: other domains have other surrogates, so whole addresses are distinct.
     """
-    units = store.materialize(units.distinct(), "units")
-    real = units.select("kind", F.when(F.col("kind") == "mailbox", F.split_part("unit", F.lit("@"), F.lit(1))).otherwise(F.col("unit")).alias("surrogate"))
+    scope = F.when(F.col("kind") == "mailbox", F.split_part("unit", F.lit("@"), F.lit(2))).otherwise(F.lit(""))
+    units = store.materialize(units.distinct().withColumn("scope", scope), "units")
+    real = units.select("kind", "scope", F.when(F.col("kind") == "mailbox", F.split_part("unit", F.lit("@"), F.lit(1))).otherwise(F.col("unit")).alias("surrogate"))
     taken, todo = real.withColumn("owner", F.lit(None).cast("string")), units.withColumn("attempt", F.lit(0))
     done = None
     for _ in range(rounds):
         drawn = todo.withColumn("__stream", _stream(key, F.col("kind"), F.col("unit"), F.col("attempt")))
         drawn = drawn.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("unit"), F.col("attempt"))).drop("__stream")
-        used = taken.select("kind", "surrogate").distinct().withColumn("used", F.lit(True))
-        first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("unit")) == 1
-        judged = store.materialize(drawn.join(used, ["kind", "surrogate"], "left").withColumn("free", F.col("used").isNull() & first), "surrogates")
-        good = judged.where("free").select("kind", "unit", "surrogate")
+        used = taken.select("kind", "scope", "surrogate").distinct().withColumn("used", F.lit(True))
+        first = F.row_number().over(Window.partitionBy("kind", "scope", "surrogate").orderBy("unit")) == 1
+        judged = store.materialize(drawn.join(used, ["kind", "scope", "surrogate"], "left").withColumn("free", F.col("used").isNull() & first), "surrogates")
+        good = judged.where("free").select("kind", "scope", "unit", "surrogate")
         done = good if done is None else done.unionAll(good)
-        todo = judged.where("not free").select("kind", "unit", (F.col("attempt") + 1).alias("attempt"))
+        todo = judged.where("not free").select("kind", "scope", "unit", (F.col("attempt") + 1).alias("attempt"))
         if todo.isEmpty():
-            return done
-        taken = taken.unionAll(good.select("kind", "surrogate", F.col("unit").alias("owner")))
+            return done.drop("scope")
+        taken = taken.unionAll(good.select("kind", "scope", "surrogate", F.col("unit").alias("owner")))
     raise RuntimeError(f"{rounds} rounds left some entities without a distinct surrogate of their form")
 
 

@@ -13,3 +13,12 @@ def test_long_secret(spark):
     assert len(secret) > 4000 and row.n_entities == 1
     assert m and len(m[1]) == len(secret) and secret[256:300] not in row.text and secret[-40:] not in row.text
     assert re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", m[1]))) == re.sub("[0-9]", "9", secret.replace("x", "a").replace("Q", "A"))
+
+
+def test_short_mailboxes(spark):
+    real = [f"a@x{i}.com" for i in range(1, 40)] + [f"{c}@one.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    df = spark.createDataFrame(list(enumerate(real)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in replace_pii(df, "k").collect()}
+    assert len(set(out.values())) == len(real) and not set(real) & set(out.values())
+    assert all(re.fullmatch(r"[a-z]+@[a-z0-9]+\.(com|org)", t) for t in out.values())
+    assert all(out[i].split("@")[0] != a.split("@")[0] for i, a in enumerate(real))

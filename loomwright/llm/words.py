@@ -18,6 +18,7 @@ _MIX = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint6
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_PIECE = 1 << 18  # bytes, or words, that are hashed at once: bounds the arrays of eight bytes for each
 
 
 def _byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -68,10 +69,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word."""
-        power, inverse = _powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_MIX[self.data] * power[: len(self.data)], out=sums[1:])
-        return scramble((sums[self.end] - sums[self.start]) * inverse[self.start])
+        out = np.empty(len(self.start), np.uint64)
+        a = 0
+        while a < len(out):
+            base = self.start[a]
+            b = max(a + 1, int(np.searchsorted(self.end, base + _PIECE, side="right")))
+            data = self.data[base : self.end[b - 1]]
+            power, inverse = _powers(len(data) + 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_MIX[data] * power[: len(data)], out=sums[1:])
+            first = self.start[a:b] - base
+            out[a:b] = scramble((sums[self.end[a:b] - base] - sums[first]) * inverse[first])
+            a = b
+        return out
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -79,23 +89,22 @@ class Words:
 
 def gram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive words of the block; those that cross documents are the caller's to skip."""
-    count = len(word_hashes) - n + 1
-    if count <= 0:
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(word_hashes) + 1)
-    sums = np.zeros(len(word_hashes) + 1, np.uint64)
-    np.cumsum(word_hashes * power[: len(word_hashes)], out=sums[1:])
-    return scramble((sums[n:] - sums[:count]) * inverse[:count])
+    count = max(len(word_hashes) - n + 1, 0)
+    out = np.empty(count, np.uint64)
+    for a in range(0, count, _PIECE):
+        b = min(a + _PIECE, count)
+        mine = word_hashes[a : b + n - 1]
+        power, inverse = _powers(len(mine) + 1)
+        sums = np.zeros(len(mine) + 1, np.uint64)
+        np.cumsum(mine * power[: len(mine)], out=sums[1:])
+        out[a:b] = scramble((sums[n:] - sums[: b - a]) * inverse[: b - a])
+    return out
 
 
 def gram_starts(first: np.ndarray, n: int) -> np.ndarray:
     """The words at which n consecutive words of one document start."""
-    ok = np.ones(max(int(first[-1]), 0), bool)
-    last = first[1:]
-    lo = np.maximum(first[:-1], last - (n - 1))
-    for a, b in zip(lo[lo < last].tolist(), last[lo < last].tolist(), strict=True):
-        ok[a:b] = False
-    return np.flatnonzero(ok)
+    last = np.repeat(first[1:], np.diff(first))
+    return np.flatnonzero(np.arange(len(last)) + n <= last)
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:

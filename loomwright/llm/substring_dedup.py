@@ -13,13 +13,15 @@ Blocks are cut by content so that a phrase needs only one block, however many th
    so windows whose anchor occurs once in the corpus are literals, and drop out after one shuffle of anchors.
 2. The rest, the run of seeds around a repeated anchor, goes to the block of its anchor. A block is
    sorted by anchor and phrase: repeats of a phrase are parsed once, and a task holds the distinct phrases of
-   a few anchors only. An anchor with more than ``hot`` occurrences doesn't go to one block: its phrases are
+   a few anchors only; a task that meets a phrase often sends it twice. An anchor with more than ``hot`` occurrences doesn't go to one block: its phrases are
    cut into single seeds, each with a block of its own.
 3. Spans return to their documents.
 
-Defined cases: a null text has no words; a text with fewer words than a window loses nothing; repeated
-rows, with equal keys or not, are copies of each other; an empty table gives an empty result; columns of
-the input that clash with new ones are replaced.
+Equal windows are those with equal 64-bit hashes of their words and of their anchor's words.
+
+Defined cases: a null text has no words; a text with fewer words than a window loses nothing; a text may have any number
+of words; repeated rows, with equal keys, null keys or not, are copies of each other; an empty table gives an empty
+result; columns of the input that clash with new ones are replaced.
 """
 
 from __future__ import annotations
@@ -28,13 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwright.llm import store, words
 
-_PLACE = np.uint64((1 << 22) - 1)  # a block of text has fewer words
+_PLACE = np.uint64((1 << 22) - 1)
+_STARTS = 1 << 20  # windows that are looked at together: their grams are fewer than _PLACE
+_OFTEN = 1 << 15  # phrases that a task remembers, or some more
+_PHRASE = ["block", "phrase", "rk", "rt", "lo", "n", "seeds"]
 _SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 
 
@@ -44,11 +50,25 @@ def _row_key(key: str, text: str):
 
 
 def _anchors(w: words.Words, hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, place, first and last window start) of each anchor of the block."""
-    start = words.gram_starts(w.first, window)
-    gram = words.gram_hashes(hashes, anchor)
+    """(gram hash, place, first and last window start) of each anchor of the block, some windows at a time.
+
+    Where two lots of windows share an anchor it is given for each of them.
+    """
+    every = words.gram_starts(w.first, window)
+    lots = [_lot_anchors(every[a : a + _STARTS], hashes, window, anchor) for a in range(0, max(len(every), 1), _STARTS)]
+    return tuple(np.concatenate(x) for x in zip(*lots, strict=True))
+
+
+def _lot_anchors(start: np.ndarray, hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     if not len(start):
-        return gram[:0], start, start, start
+        return np.zeros(0, np.uint64), start, start, start
+    # From the first window to the last there may be words without a window, of short texts: cut where there are many.
+    far = int(np.searchsorted(start, start[0] + _STARTS))
+    if far < len(start):
+        both = _lot_anchors(start[:far], hashes, window, anchor), _lot_anchors(start[far:], hashes, window, anchor)
+        return tuple(np.concatenate(x) for x in zip(*both, strict=True))
+    base = start[0]
+    gram = words.gram_hashes(hashes[base : start[-1] + window], anchor)
     # Least gram of each window: the place is in the low bits, so the leftmost wins a tie.
     best = (gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64)
     span, reach = window - anchor + 1, 1
@@ -57,10 +77,10 @@ def _anchors(w: words.Words, hashes: np.ndarray, window: int, anchor: int) -> tu
         reach *= 2
     if reach < span:
         best = np.minimum(best[: len(best) - (span - reach)], best[span - reach :])
-    place = (best[start] & _PLACE).astype(np.int64)
+    place = (best[start - base] & _PLACE).astype(np.int64)
     fresh = np.concatenate([[True], place[1:] != place[:-1]])
     at = np.flatnonzero(fresh)
-    return gram[place[at]], place[at], start[at], start[np.append(at[1:], len(start)) - 1]
+    return gram[place[at]], place[at] + base, start[at], start[np.append(at[1:], len(start)) - 1]
 
 
 def _find_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -140,9 +160,14 @@ def _repeated(anchors: DataFrame, hot: int, partitions: int) -> DataFrame:
 
 
 def _phrases(candidates: DataFrame, window: int) -> DataFrame:
-    """(block, phrase, rk, rt, lo, seeds): the seeds of the windows lo, lo + 1, ... of a document."""
+    """(block, phrase, rk, rt, lo, n, seeds): the n seeds of the windows lo, lo + 1, ... of a document.
+
+    Of a phrase that a task meets often, only the first two go to the block, where they show that it repeats. The others
+    have no seeds, and go to any task: they are spans already.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often: set[tuple[int, int]] = set()
         for batch in batches:
             rk, rt, found = batch.column("rk").to_numpy(), batch.column("rt").to_numpy(), batch.column("found")
             for row, data, offsets in words.blocks(batch.column("t")):
@@ -167,15 +192,41 @@ def _phrases(candidates: DataFrame, window: int) -> DataFrame:
                 if len(size):
                     place = np.arange(len(at)) - np.repeat(ends - size, size)
                     phrase = np.add.reduceat(words.scramble(flat_seeds + place.astype(np.uint64)), ends - size).view(np.int64)
+                extra = _extra(block, phrase, often)
+                lo, keys = lo.astype(np.int32), (rk[row + doc], rt[row + doc])
+                if extra.any():
+                    columns = [keys[0][extra], np.zeros(extra.sum(), np.int64), *[x[extra] for x in keys], lo[extra], size[extra].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.nulls(len(columns[0]), pa.binary())], _PHRASE)
+                    flat_seeds = flat_seeds[~np.repeat(extra, size)]
+                    block, phrase, lo, size, *keys = (x[~extra] for x in (block, phrase, lo, size, *keys))
+                    ends = np.cumsum(size)
                 for a in range(0, len(size), 1 << 15):
                     b = min(a + (1 << 15), len(size))
                     begin = ends[a] - size[a]
                     cuts = np.concatenate([[0], ends[a:b] - begin]).astype(np.int32) * 8
                     blob = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(flat_seeds[begin : ends[b - 1]].tobytes())])
-                    columns = [block[a:b], phrase[a:b], rk[row + doc[a:b]], rt[row + doc[a:b]], lo[a:b].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], blob], ["block", "phrase", "rk", "rt", "lo", "seeds"])
-
-    return candidates.mapInArrow(build, "block long, phrase long, rk long, rt int, lo int, seeds binary")
+                    columns = [block[a:b], phrase[a:b], *[x[a:b] for x in keys], lo[a:b], size[a:b].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], blob], _PHRASE)
+
+    return candidates.mapInArrow(build, "block long, phrase long, rk long, rt int, lo int, n int, seeds binary")
+
+
+def _extra(block: np.ndarray, phrase: np.ndarray, often: set[tuple[int, int]]) -> np.ndarray:
+    """Rows beyond the first two of their (block, phrase), here and in what the task had before; ``often`` remembers some."""
+    order = np.lexsort([phrase, block])
+    b, p = block[order], phrase[order]
+    first = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (p[1:] != p[:-1])])) if len(b) else order
+    size = np.diff(np.append(first, len(b)))
+    nth = np.arange(len(b)) - np.repeat(first, size)
+    out = np.zeros(len(b), bool)
+    out[order] = nth > 1
+    if often:
+        seen = np.array([pair in often for pair in zip(b[first].tolist(), p[first].tolist(), strict=True)], bool)
+        out[order] |= np.repeat(seen, size)
+    if len(often) < _OFTEN:
+        many = first[size > 2]
+        often.update(zip(b[many].tolist(), p[many].tolist(), strict=True))
+    return out
 
 
 def parse_phrases(seeds: np.ndarray, first: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,6 +311,12 @@ def _parse(phrases: DataFrame, window: int, partitions: int) -> DataFrame:
         # repeats, two rows are kept and the others answered at once, as all their seeds are elsewhere.
         held: list[pa.RecordBatch] = []
         for batch in batches:
+            done = batch.column("seeds").is_null()
+            if pc.any(done).as_py():
+                known = batch.filter(done)
+                lo = known.column("lo").to_numpy()
+                yield spans(known.column("rk").to_numpy(), known.column("rt").to_numpy(), lo, lo + known.column("n").to_numpy() + window - 2)
+                batch = batch.filter(pc.invert(done))
             if not len(batch):
                 continue
             block, phrase = batch.column("block").to_numpy(), batch.column("phrase").to_numpy()
@@ -268,8 +325,7 @@ def _parse(phrases: DataFrame, window: int, partitions: int) -> DataFrame:
             if same.any():
                 more = batch.filter(pa.array(same))
                 lo = more.column("lo").to_numpy()
-                n = pa.compute.binary_length(more.column("seeds")).to_numpy() // 8
-                yield spans(more.column("rk").to_numpy(), more.column("rt").to_numpy(), lo, lo + n + window - 2)
+                yield spans(more.column("rk").to_numpy(), more.column("rt").to_numpy(), lo, lo + more.column("n").to_numpy() + window - 2)
                 batch = batch.filter(pa.array(~same))
                 block = batch.column("block").to_numpy()
             held.append(batch)

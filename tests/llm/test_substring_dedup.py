@@ -4,9 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.llm import substring_dedup
 from loomwright.llm.substring_dedup import remove_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,5 +52,36 @@ def test_matches_brute_force(spark, window, anchor, hot):
     assert all(r.n_removed == sum(x["last"] - x["first"] + 1 for x in r.removed) for r in out)
 
 
+def test_anchors_of_a_huge_text_do_not_depend_on_its_size(monkeypatch):
+    rng = np.random.default_rng(1)
+    vocab = rng.integers(1 << 40, size=5000).astype(np.uint64)
+    make = lambda n: substring_dedup.words.scramble(vocab[rng.integers(0, 5000, n)])
+    tail = make(3000)
+    alone, huge = tail, np.concatenate([make((1 << 22) + 10_000), tail])
+
+    def anchors(hashes):
+        w = substring_dedup.words.Words(None, None, None, None, np.array([0, len(hashes)]))
+        h, place, lo, hi = substring_dedup._anchors(w, hashes, 35, 16)
+        base = len(hashes) - len(tail)
+        inside = lo >= base
+        return {(int(a), int(p - base)) for a, p in zip(h[inside], place[inside], strict=True)}
+
+    assert len(anchors(alone)) > 100 and anchors(alone) - anchors(huge) <= {min(anchors(alone), key=lambda x: x[1])}
+    for starts in (1, 7, 100):  # lots of windows of any size give the same anchors
+        whole = anchors(alone)
+        monkeypatch.setattr(substring_dedup, "_STARTS", starts)
+        assert anchors(alone) == whole
+        monkeypatch.undo()
+
+
+def test_copies_of_one_phrase_in_one_task(spark):
+    rng = random.Random(9)
+    shared = " ".join(f"s{rng.randrange(99)}" for _ in range(20))
+    rows = [(i, f"{shared} u{i} " + " ".join(f"v{i}x{j}" for j in range(9))) for i in range(300)] + [(300, None), (301, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = remove_duplicates(df, 8, 4)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in out.collect()) == brute(rows, 8)
+
+
 def test_empty(spark):
     assert remove_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -5,7 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from loomwright.llm.line_dedup import dedup_lines
+from loomwright.llm.line_dedup import LineRuns, dedup_lines
 from loomwright.llm.sharding import shard_by_bytes
 
 WS = " \t\n\x0b\f\r"
@@ -49,6 +49,44 @@ def test_line_dedup_matches_brute_force(spark):
         assert {r.pos for r in out} == {"clash"}
 
 
+def test_rows_of_one_id_and_rows_without(spark):
+    rows = [
+        (5, "first line of row one\nshared by both rows of five"),
+        (5, "unique text of row two\nother unique line\nshared by both rows of five\nheld by five and six"),
+        (5, "unique text of row two\nother unique line\nshared by both rows of five\nheld by five and six"),
+        (6, "held by five and six\nheld by six and a row without id"),
+        (None, "held by six and a row without id\nheld by two rows without id\nlast"),
+        (None, "held by two rows without id\nof the second row only"),
+        (None, None),
+    ]
+    for batches in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash"))
+        out = [(r.doc_id, r.text, r.n_dropped) for r in dedup_lines(df, batches=batches).collect()]
+        assert [x for x in out if x[0] == 5 and x[1].startswith("first")] == [(5, rows[0][1], 0)]
+        assert [x for x in out if x[0] == 5 and x[1].startswith("unique")] == [(5, rows[1][1], 0)] * 2
+        assert [x for x in out if x[0] == 6] == [(6, "held by six and a row without id", 1)]
+        bare = [x for x in out if x[0] is None]
+        assert ("", 0) in [x[1:] for x in bare] and not any("held by six" in x[1] for x in bare)
+        assert sum("held by two rows without id" in x[1] for x in bare) == 1 and sum(x[2] for x in bare) == 2
+    alone = dedup_lines(spark.createDataFrame(rows[4:], "doc_id long, text string")).collect()
+    assert sorted(r.n_dropped for r in alone) == [0, 0, 1]
+
+
+def test_runs_are_joined_as_they_lie(spark):
+    keys = lambda lo, hi: spark.range(lo, hi).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.col("id").alias("owner"))
+    with LineRuns(spark, fanout=2) as runs:
+        for i in range(3):
+            runs.add(keys(100 * i, 100 * i + 100))
+        assert [len(level) for level in runs.levels] == [1, 1]
+        fresh = keys(250, 350).select("h1", "h2", F.lit(None).alias("x")).groupBy("h1", "h2").agg(F.max("x").alias("x"))
+        met = runs.seen(fresh)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+        assert sorted((r.h2, r.owner) for r in met.collect()) == [(i, i if i < 300 else None) for i in range(250, 350)]
+        names = list(runs.paths)
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
 def test_line_dedup_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert dedup_lines(df).count() == 0

@@ -60,9 +60,39 @@ def test_empty_tables(spark):
     assert len(out) == len(docs) and not any(r["items"] or r.hits for r in out)
 
 
+def test_rows_of_one_key(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = [(None, f"x {item} y"), (None, "a clean text"), (5, f"{item} tail"), (5, "four clean words here"), (5, "four clean words here"), (6, None)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    for df in (d, d.coalesce(1), d.repartition(3)):
+        out = find_contamination(df, i).withColumn("n", n_hit()).collect()
+        assert sorted((r.doc_id or 0, r.n_words, r.n) for r in out) == [(0, 3, 0), (0, 12, 10), (5, 4, 0), (5, 4, 0), (5, 11, 10), (6, 0, 0)]
+
+
+def near_brute(docs, items, slop):
+    """Words from the first to the last term of each span that starts with a term and holds all."""
+    out = {}
+    for d, t in docs:
+        w, hit = words(t), set()
+        for _, x in items:
+            want = set(words(x))
+            for a in range(len(w)):
+                if w[a] in want:
+                    ends = [next((b for b in range(a, len(w)) if w[b] == q), 1 << 30) for q in want]
+                    if max(ends) < a + len(words(x)) + slop:
+                        hit |= set(range(a, max(ends) + 1))
+        if hit:
+            out[d] = sorted(hit)
+    return out
+
+
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "q red one green two blue q"), (2, "red a b c d e green blue"), (3, "blue green red")], "doc_id long, text string")
-    i = spark.createDataFrame([(7, "red green blue")], "item_id long, text string")
-    index = build_index(d)
-    assert {r.k for r in search(index, i, window=3).collect()} == set()
-    assert {r.k for r in search(index, i, window=3, slop=2).collect()} == {1, 3}
+    docs = [(1, "q red one green two blue q"), (2, "red a b c d e green blue"), (3, "blue green red"), (4, "x blue x green red red y red blue green"), (5, None)]
+    items = [(7, "red green blue")]
+    i = spark.createDataFrame(items, "item_id long, text string")
+    for d in (spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)):
+        index = build_index(d)
+        assert {r.k for r in search(index, i, window=3).collect()} == set()
+        for slop in (1, 2, 5):
+            got = {r.k: sorted({j for x in r.hits for j in range(x["first"], x["last"] + 1)}) for r in search(index, i, window=3, slop=slop).collect()}
+            assert got == near_brute(docs, items, slop)

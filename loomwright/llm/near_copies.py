@@ -10,8 +10,10 @@ Buckets are read twice: first each node meets the first of its bucket (and its S
 joined; then only pairs across components are tested, so a large group of copies doesn't cost its square.
 
 Defined cases: case (A-Z) and white space don't count; fewer words than a shingle are one shingle; null and wordless
-texts are copies of each other and of nothing else; a null key names no component. Equality of shingles is that
-of 64-bit hashes.
+texts are copies of each other and of nothing else; texts are compared whole; each row is judged by its own text, whatever
+its key: rows of one key may be in several groups; a row with a null key is compared like any other, comes after all keys
+and names no component; repeated rows are all kept or all not; an empty table gives an empty result; only the key and the
+text are read. Equality of shingles is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm import simhash, store, words
@@ -61,16 +63,16 @@ def _sketch(s: np.ndarray) -> bytes:
 
 
 def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(k, node, n, sketch, fp) of each row."""
+    """(k, r, node, n, sketch, fp) of each row."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets = [(_node(s), len(s), _sketch(s)) for s in shingle_sets(batch.column("t"), shingle)]
             node, n, sketch = zip(*sets, strict=True) if sets else ((), (), ())
             fp = simhash.fingerprints(batch.column("t"), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(fp)], ["k", "node", "n", "sketch", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("r"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(fp)], ["k", "r", "node", "n", "sketch", "fp"])
 
-    return docs.mapInArrow(mark, "k long, node long, n int, sketch binary, fp long")
+    return docs.mapInArrow(mark, "k long, r long, node long, n int, sketch binary, fp long")
 
 
 def _common(docs: DataFrame, rows: int, shingle: int) -> np.ndarray:
@@ -81,7 +83,7 @@ def _common(docs: DataFrame, rows: int, shingle: int) -> np.ndarray:
             for s in shingle_sets(batch.column("t"), shingle):
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["h"])
 
-    sample = docs.where(F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(max(1, rows // _SAMPLE))) == 0)
+    sample = docs.where(F.pmod(F.xxhash64("r", F.lit("sample")), F.lit(max(1, rows // _SAMPLE))) == 0)
     counts = sample.mapInArrow(spread, "h long").groupBy("h").count().where("count > 2")
     found = counts.orderBy(F.desc("count"), "h").limit(_COMMON).select("h").toArrow()
     return found.column("h").to_numpy()[::-1].view(np.uint64)
@@ -202,37 +204,47 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int)
 
     pairs = store.materialize(pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     wanted = store.materialize(nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", "rep"), "wanted")
-    # A repeated key has more than one text: only those that are wanted stay, once.
-    sets = docs.join(wanted.select(F.col("rep").alias("k")).distinct(), "k", "left_semi").select("t").mapInArrow(gather, "node long, s binary")
+    # Repeated rows have one set: it stays once.
+    sets = docs.join(wanted.select(F.col("rep").alias("r")).distinct(), "r", "left_semi").select("t").mapInArrow(gather, "node long, s binary")
     sets = store.materialize(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
     full = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("y")), "v")
     return store.materialize(full.select("u", "v", "x", "y").mapInArrow(decide, "u long, v long"), "similar")
 
 
+def row_hash(key: str, text: str) -> Column:
+    """Names a row by its key and text."""
+    return F.xxhash64(key, text)
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, max_distance: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Returns key and component_id (smallest key reachable by similarities of 4/5 or more) for each row."""
+    """Returns key, row (its row_hash), component_id (smallest key reachable by similarities of 4/5 or more) and kept for
+    each row: of a component, the row with the smallest key and of those the one with the smallest hash is kept."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    rows = docs.select(F.col(key).cast("long").alias("k"), row_hash(key, text).alias("r"), F.col(text).alias("t"))
     marked = store.materialize(_nodes(rows, shingle), "shingle-nodes")
-    nodes = store.materialize(marked.groupBy("node").agg(F.min("k").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")).where("rep is not null"), "distinct-sets")
+    by_node = [F.min("r").alias("rep"), F.min("k").alias("least"), F.min("n").alias("n"), F.min("sketch").alias("sketch")]
+    nodes = store.materialize(marked.groupBy("node").agg(*by_node), "distinct-sets")
 
     # SimHash: the nodes of a fingerprint with the least of them, and the links of these.
-    prints = marked.where("k is not null").select("fp", "node").distinct()
+    prints = marked.select("fp", "node").distinct()
     least = store.materialize(prints.groupBy("fp").agg(F.min("node").alias("rep")), "distinct-fingerprints")
     guessed = prints.join(least, "fp").select(F.col("node").alias("u"), F.col("rep").alias("v"))
     guessed = guessed.unionAll(simhash.link_fingerprints(least, max_distance))
 
-    rows_with_key = rows.where("k is not null")
-    common = _common(rows_with_key, marked.count(), shingle)
-    shared = store.materialize(_shared(_plant(rows_with_key, common, shingle), partitions), "shared-shingles")
+    common = _common(rows, marked.count(), shingle)
+    shared = store.materialize(_shared(_plant(rows, common, shingle), partitions), "shared-shingles")
     seen = shared.join(nodes.select("node", "sketch"), "node")
     stars = _pairs(seen.withColumn("label", F.col("node")), partitions, True)
-    links = _similar(stars.unionAll(guessed), rows_with_key, nodes, shingle)
+    links = _similar(stars.unionAll(guessed), rows, nodes, shingle)
     joined = components(links).withColumnRenamed("u", "node").withColumnRenamed("v", "to")
     labelled = seen.join(joined, "node", "left").withColumn("label", F.coalesce("to", "node")).drop("to")
-    links = links.unionAll(_similar(_pairs(labelled, partitions, False), rows_with_key, nodes, shingle))
+    links = links.unionAll(_similar(_pairs(labelled, partitions, False), rows, nodes, shingle))
 
     joined = components(links).withColumnRenamed("u", "node").withColumnRenamed("v", "to")
-    named = nodes.join(joined, "node", "left").select("node", "rep", F.coalesce("to", "node").alias("to"))
-    named = named.join(named.groupBy("to").agg(F.min("rep").alias("component_id")), "to").select("node", "component_id")
-    return marked.join(named, "node", "left").select(F.col("k").alias(key), "component_id")
+    named = store.materialize(nodes.select("node", "least").join(joined, "node", "left").select("node", "least", F.coalesce("to", "node").alias("to")), "named")
+    named = named.select("node", "to").join(named.groupBy("to").agg(F.min("least").alias("component_id")), "to")
+    member = store.materialize(marked.select("k", "r", "node").join(named, "node"), "members")
+    # Few rows have their component's key, so this is little to shuffle whatever the group's size.
+    first = member.where(F.col("k").eqNullSafe(F.col("component_id"))).groupBy("to").agg(F.min("r").alias("first"))
+    kept = F.col("k").eqNullSafe(F.col("component_id")) & (F.col("r") == F.col("first"))
+    return member.join(first, "to").select(F.col("k").alias(key), F.col("r").alias("row"), "component_id", kept.alias("kept"))

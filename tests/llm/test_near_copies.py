@@ -74,3 +74,20 @@ def test_only_similar_texts_go(spark):
     want = {i for i in range(len(texts)) if first[i] == i}
     assert {0, 3, 4, 6, 8} <= want
     assert kept(spark, texts) == want
+
+
+def test_rows_without_ids_and_rows_of_one_id(spark):
+    rng, make = corpus(5)
+    a, b, c, d, e, f = (" ".join(make(50)) for _ in range(6))
+    close = a.split()
+    close[3] = "changed"
+    rows = [(None, b), (None, c), (3, d), (3, e), (1, f), (9, a), (7, " ".join(close)), (None, d), (2, None), (None, ""), (3, d), (None, c), (4, "  " + f.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "clash") for i, t in rows], SCHEMA + ", kept string").repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    got = sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(0, b), (0, c), (3, d), (3, e), (1, f), (7, " ".join(close)), (2, None)], key=str)
+
+
+def test_empty(spark):
+    assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([], SCHEMA), "").count() == 0

@@ -79,3 +79,27 @@ def test_run(spark, corpus):
     path, docs, plan = corpus
     out = corpus_pipeline.run(spark, path)
     assert {r.doc_id for r in out.select("doc_id").collect()} == {i for i, what in plan.items() if what == "clean"}
+
+
+def test_edge_cases(spark):
+    """Null and shared ids, null texts, repeated rows, other columns, empty tables: nothing crashes or gets lost."""
+    rng = random.Random(2)
+    make = lambda n: " ".join("".join(rng.choices("abcdeghimnoprst", k=rng.randint(2, 8))) for _ in range(n))
+    item = make(12)
+    plain = [make(40) for _ in range(6)]
+    rows = [(None, plain[0]), (None, plain[1]), (3, plain[2]), (3, plain[3]), (3, plain[3]), (4, None), (5, ""), (6, make(5) + " " + item), (None, item + " " + make(9)), (6, plain[4]), (None, "x " * 30_000 + plain[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, predicted string, score double").repartition(2)
+    path = store.new_path(spark, "fixture")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    texts = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    every = sorted((i or 0, t or "") for i, t in rows)
+    clean = sorted((i or 0, t or "") for i, t in rows if item not in (t or ""))
+    assert texts(corpus_pipeline.drop_lines(spark, docs, path)) == every
+    assert texts(corpus_pipeline.drop_contaminated(spark, docs, path)) == clean
+    near = texts(corpus_pipeline.drop_near_copies(spark, docs, path))
+    assert near == sorted({x for x in every if x != (5, "")})
+    assert len(texts(corpus_pipeline.drop_toxic(spark, docs, path))) in (0, len(rows))
+    assert len({r.sequence_id for r in corpus_pipeline.pack(spark, docs, path).where("doc_id is null").collect()}) >= 1
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0, name

@@ -25,6 +25,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Removes the table behind a kept DataFrame that no later step reads."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 #: A smaller input may be one row group, which is one task whatever the cluster; above, its splits are many.
 SPREAD_BYTES = 512 << 20
 

@@ -28,8 +28,10 @@ PROTECTED_TOKEN_PARTS = ["not", "n't", "no", "never", "must", "should", "return"
 MAX_RATIO = 0.90
 
 
-#: What the patterns below call white space.
-_SPACE = " \t\n\u000b\f\r"
+# White space, which also parts tokens: ASCII, control and Unicode spaces.
+_SPACE = "\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: The same as a character class of patterns.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def strip(c: Column) -> Column:
@@ -45,7 +47,7 @@ def is_blank(c: Column) -> Column:
 def tokens(c: Column) -> Column:
     """White-space tokens; an empty text has none."""
     body = strip(F.coalesce(c, F.lit("")))
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE + "+"))
 
 
 def token_count(c: Column) -> Column:
@@ -66,10 +68,10 @@ def segments(c: Column) -> Column:
     """Sentences; if that gives one part only, paragraphs; if that does too, the whole text. Blank: none."""
 
     def paragraphs(whole: Column) -> Column:
-        return bind(_parts(whole, r"\n\s*\n"), lambda p: F.when(F.size(p) > 1, p).otherwise(F.array(whole)))
+        return bind(_parts(whole, rf"\n{SPACE}*\n"), lambda p: F.when(F.size(p) > 1, p).otherwise(F.array(whole)))
 
     def sentences(whole: Column) -> Column:
-        return bind(_parts(whole, r"(?<=[.!?])\s+"), lambda s: F.when(F.size(s) > 1, s).otherwise(paragraphs(whole)))
+        return bind(_parts(whole, rf"(?<=[.!?]){SPACE}+"), lambda s: F.when(F.size(s) > 1, s).otherwise(paragraphs(whole)))
 
     none = F.array().cast("array<string>")
     return bind(strip(F.coalesce(c, F.lit(""))), lambda whole: F.when(whole == "", none).otherwise(sentences(whole)))

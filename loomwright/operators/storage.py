@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -25,6 +26,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
+    """Rows with their place from 0 in the given order, by counts of ranges and not in one task."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keep(rows.repartitionByRange(n, order).withColumn("__p", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
+    # One row for each range.
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
+    return dealt.withColumn("__r", inside).join(F.broadcast(before), "__p").select(*rows.columns, (F.col("__before") + F.col("__r")).cast("long").alias(name))
+
+
 def drop(df: DataFrame) -> None:
     """Removes the table behind a kept DataFrame that no later step reads."""
     spark = df.sparkSession

@@ -172,11 +172,13 @@ ORACLES: dict[str, str] = {
     "compress": f"{COMPRESS} SELECT doc_id, ratio, original_tokens, target_tokens, compressed_tokens, segments_kept, segments_total, protected_segments_kept, {REDUCTION} AS token_reduction, compressed FROM result",
     "compression_sweep": f"{SWEEP} SELECT ratio, count(*) AS prompts, avg({REDUCTION}) AS avg_token_reduction, min({REDUCTION}) AS min_token_reduction, max({REDUCTION}) AS max_token_reduction, sum(original_tokens)::BIGINT AS original_tokens, sum(compressed_tokens)::BIGINT AS compressed_tokens FROM result GROUP BY ratio",
     "segment_diagnostics": f"{COMPRESS} SELECT s.doc_id, s.idx, substr(segment, 1, 120) AS preview, tc AS token_count, score, protected, list_contains(kept, s.idx) AS kept FROM scored s JOIN sel USING (doc_id)",
-    "nearest_canonical": f"""WITH src AS ({_EMBEDDED}), s AS (
-  SELECT q.k, i.k AS c, round(list_dot_product(q.v, i.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(i.v, i.v))), 9) AS s
-  FROM src q, src i WHERE i.k % 5 = 0 AND q.k % 5 <> 0)
+    "nearest_canonical": f"""WITH RECURSIVE {_unified(_EMBEDDED, 0.30)}, s AS (
+  SELECT q.k, c.canonical_id AS c, round(list_dot_product(q.v, i.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(i.v, i.v))), 9) AS s
+  FROM num q, num i JOIN cid c ON c.l = i.r)
 SELECT k AS vec_id, CASE WHEN s >= 0.30 THEN c END AS canonical_id, s AS similarity, s >= 0.30 AS hit
 FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, c) AS r FROM s) WHERE r = 1""",
+    "unify_in_rounds": f"WITH RECURSIVE {_unified(_EMBEDDED, 0.30)} SELECT k AS vec_id, leader, canonical_id, similarity, cache_hit FROM uni",
+    "unify_from_inventory": f"WITH RECURSIVE {_unified(_EMBEDDED, 0.30)} SELECT k AS vec_id, canonical_id, similarity, cache_hit FROM uni",
     "unify_prompts": f"WITH RECURSIVE {_unified(_EMBEDDED, 0.30)} SELECT k AS vec_id, leader, canonical_id, similarity, cache_hit FROM uni",
     "tau_sweep": " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {_unified(_EMBEDDED, t)} {_purity(t)})" for t in (0.25, 0.30, 0.40)),
     "pipeline_process": f"""{COMPRESS.replace('WITH', 'WITH RECURSIVE', 1)}, {_unified(_vectors('result'), 0.95)}
@@ -264,6 +266,8 @@ ROUNDED = {
     "segment_diagnostics": ["score"],
     "nearest_canonical": ["similarity"],
     "unify_prompts": ["similarity"],
+    "unify_in_rounds": ["similarity"],
+    "unify_from_inventory": ["similarity"],
     "tau_sweep": ["cache_hit_rate", "cluster_purity"],
     "pipeline_process": ["similarity", "token_reduction"],
     "cluster_overlap": ["mean_overlap", "max_overlap"],

@@ -12,7 +12,7 @@ from loomwright.functions.text import is_guarded, jaccard, mean_or_zero, preview
 from loomwright.functions.vectors import hashed_words
 from loomwright.operators import compress as compressing
 from loomwright.operators import dedupe, generate, metrics, routing, scoring, unify
-from loomwright.operators.storage import spread
+from loomwright.operators.storage import keep, spread
 from loomwright.plans import pipeline
 from loomwright.plans.oracles import ROUNDED
 from loomwright.sources import prompts as sources
@@ -50,10 +50,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def segments(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    segs = scoring.split(spread(docs)).groupBy("doc_id").agg(F.count("*").alias("s"), F.sum("token_count").alias("t"))
-    zero = F.lit(0).cast("long")
-    return docs.select("doc_id").join(segs, "doc_id", "left").select("doc_id", F.coalesce("s", zero).alias("n_segments"), F.coalesce("t", zero).alias("n_tokens"))
+    n, t = scoring.segment_sizes(F.col("text"))
+    return spread(_documents(spark, sf_dir)).select("doc_id", n.alias("n_segments"), t.alias("n_tokens"))
 
 
 @query
@@ -85,9 +83,28 @@ def segment_diagnostics(spark, sf_dir):
 
 @query
 def nearest_canonical(spark, sf_dir):
+    """All vectors against the canonicals of all."""
+    rows = table(spark, sf_dir, "embeddings")
+    led = unify.unify(rows, TAU).where("not cache_hit").select("vec_id", "canonical_id")
+    return unify.nearest(rows, rows.join(led, "vec_id").select("canonical_id", "embedding"), TAU)
+
+
+@query
+def unify_in_rounds(spark, sf_dir):
+    """The form for tables of any size, whatever the size of this one."""
+    return unify.unify(table(spark, sf_dir, "embeddings"), TAU, local_rows=0)
+
+
+@query
+def unify_from_inventory(spark, sf_dir):
+    """The lower half of the ids builds an inventory, the upper half is unified against it: together, all rows."""
     rows = table(spark, sf_dir, "embeddings")
-    inventory = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("canonical_id"), "embedding")
-    return unify.nearest(rows.where("vec_id % 5 != 0"), inventory, TAU)
+    half = rows.agg(F.avg("vec_id").alias("h")).first()["h"] or 0.0
+    low, high = rows.where(F.col("vec_id") <= half), rows.where(F.col("vec_id") > half)
+    first = keep(unify.unify(low, TAU), "unified")
+    entries = first.where("not cache_hit").join(low, "vec_id").select("canonical_id", "embedding")
+    both = first.unionAll(unify.unify(high, TAU, inventory=entries))
+    return both.select("vec_id", "canonical_id", "similarity", "cache_hit")
 
 
 @query

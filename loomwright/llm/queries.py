@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,6 +13,9 @@ from loomwright.llm import decontamination, embedding_dedup, line_dedup, packing
 from loomwright.llm.oracles import ORACLES  # noqa: F401  the queries' SQL, for the driver
 from loomwright.llm.store import read_table
 
+#: Names the environment variable with the key of surrogates; the default is for test tables.
+PII_KEY = "LOOMWRIGHT_PII_KEY"
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
@@ -80,7 +84,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace_pii(docs, secret_key="loomwright-demo-key")
+    return pii.replace_pii(docs, secret_key=os.environ.get(PII_KEY, "for tables without real people"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -13,7 +13,7 @@ the axes decide the speed only; they come from all vectors, as a sum of d x d pr
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite components, or whose id is
 null, links with nothing; a vector with fewer components than the longest counts as filled up with
-zeros; repeated rows count as vectors of their own; an empty table gives an empty result; only the id
+zeros; vectors may have any length; repeated rows count as vectors of their own; an empty table gives an empty result; only the id
 and the vector are read.
 """
 
@@ -30,6 +30,7 @@ from loomwright.llm import store
 from loomwright.llm.components import components
 from loomwright.llm.simhash import _unite
 
+_TILE_BYTES, _TILES = 32 << 20, 16
 _BOX = 8  # leading coordinates of a bounding box
 _MARGIN = 1e-4  # of single-precision bounds
 _STRIP = 1 << 21  # pairs of vectors that are multiplied at once
@@ -102,7 +103,7 @@ def compare_tiles(x: np.ndarray, y: np.ndarray, axes: np.ndarray, steps: list[in
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.95,
-    tile_rows: int = 4096,
+    tile_rows: int | None = None,
     key: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
@@ -110,7 +111,8 @@ def near_duplicates(
 
     Each tile is sent to the tiles its box allows: with unstructured vectors that is all of them, and the
     work is quadratic in their number with a small constant; with vectors that fill few dimensions it is not.
-    The boxes, 128 bytes for each ``tile_rows`` vectors, are gathered on the driver.
+    The boxes, 128 bytes for each tile, are gathered on the driver. A tile has ``tile_rows`` vectors, by default as many as
+    _TILE_BYTES hold, as a tile is copied once for each tile it meets; small inputs are cut into some tiles too.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is a cosine above 0")
@@ -134,7 +136,8 @@ def near_duplicates(
     size = distinct.count()
     if size:
         axes, share = _axes(distinct, dims)
-        links = _links(distinct, axes, share, threshold, max(1, -(-size // tile_rows)), dims)
+        tiles = -(-size // tile_rows) if tile_rows else max(-(-size * dims * 8 // _TILE_BYTES), min(_TILES, -(-size // 1024)))
+        links = _links(distinct, axes, share, threshold, max(1, tiles), dims)
     else:
         links = spark.createDataFrame([], "kind int, u long, v long")
     counts = links.where("kind = 0").groupBy(F.col("u").alias("rep")).agg(F.sum("v").alias("other"))

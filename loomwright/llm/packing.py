@@ -3,11 +3,14 @@
 A scan tokenises whole texts, cuts those that are too long and best-fits the pieces of its
 partition. Bins that are full or nearly so are final. An underfull bin becomes one item of its
 size; partitions are then merged ``fan_in`` at a time, each merge best-fits its items again and
-passes on what is still underfull, until one node is left.
+passes on what is still underfull, until one node is left. After a merge one bin at most is not over half full, and bins
+over half full never fit each other, so at most one bin of each node has still to be placed: of the others, a node
+passes on as many as there are nodes, the roomiest, and the rest is final. So no node holds more than a few bins for each
+partition of the input.
 
 Defined cases: a null or empty text is a piece that holds the end id only; a text whose ids with the
 end id exceed the capacity is cut so that only its first piece may be short; repeated and null
-document ids are packed like others; an empty table gives an empty result. Only the key and the text are read.
+document ids are packed like others; texts may have any length; an empty table gives an empty result. Only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -101,7 +104,8 @@ def pack(
     pieces = store.materialize(tokenize_pieces(docs, tokenizer, capacity, end_id, key, text), "pieces")
     spark = pieces.sparkSession
     top = pieces.agg(F.max("node").alias("n")).first()["n"] or 0
-    items = pieces.groupBy("node", "bin").agg(F.sum("length").alias("fill"))
+    nodes = top + 1
+    items = pieces.groupBy("node", "bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < capacity - slack)
     placed = pieces.drop("node")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,12 +114,17 @@ def pack(
         into = np.empty(at.max() + 1, np.int64)
         into[at[::-1]] = pdf["bin"].to_numpy()[::-1]  # a merged bin has the name of its first item
         fill = np.bincount(at, pdf["fill"].to_numpy()).astype(np.int64)
-        return pd.DataFrame({"node": pdf["parent"], "bin": pdf["bin"], "into": into[at], "shift": offsets, "fill": fill[at]})
+        # Bins that later merges may still fill.
+        least = np.argsort(fill, kind="stable")
+        passed = fill <= capacity // 2
+        passed[least[:nodes]] = True
+        passed &= fill < capacity - slack
+        return pd.DataFrame({"node": pdf["parent"], "bin": pdf["bin"], "into": into[at], "shift": offsets, "fill": fill[at], "open": passed[at]})
 
     while top > 0:
         top //= fan_in
-        open_items = items.where(F.col("fill") < capacity - slack).select(F.expr(f"node div {fan_in}").alias("parent"), "bin", "fill")
-        merged = open_items.groupBy("parent").applyInPandas(merge, "node long, bin long, into long, shift long, fill long")
+        open_items = items.select(F.expr(f"node div {fan_in}").alias("parent"), "bin", "fill")
+        merged = open_items.groupBy("parent").applyInPandas(merge, "node long, bin long, into long, shift long, fill long, open boolean")
         merged = store.materialize(merged, "merged-bins")
         moves = merged.where((F.col("bin") != F.col("into")) | (F.col("shift") > 0)).select("bin", "into", "shift")
         placed = placed.join(moves, "bin", "left").select(
@@ -123,5 +132,5 @@ def pack(
             F.coalesce("into", "bin").alias("bin"),
             (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
         )
-        items = merged.groupBy("node", F.col("into").alias("bin")).agg(F.max("fill").alias("fill"))
+        items = merged.where("open").groupBy("node", F.col("into").alias("bin")).agg(F.max("fill").alias("fill"))
     return placed.select(store.restored(key, key), "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.llm import packing
 from loomwright.llm.packing import best_fit, pack
 from loomwright.llm.token_counts import count_tokens
 from loomwright.llm.tokenizing import Encoder
@@ -94,3 +95,23 @@ def test_pack_round_trip(spark, enc):
 
 def test_pack_nothing(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_bins_without_a_partner_do_not_climb_the_tree(spark, monkeypatch):
+    """Pieces of over half a bin never share one: of each node a few are passed on, whatever the input's size."""
+    rows = [(i, "a" * 5 + " word" * (520 + i * 37 % 470)) for i in range(400)] + [(1000 + i, "x y") for i in range(16)]
+    seen = []
+    keep = packing.store.materialize
+    monkeypatch.setattr(packing.store, "materialize", lambda df, name: (lambda out: (seen.append((name, out)), out)[1])(keep(df, name)))
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(16), public_tokenizers.path("byte_bpe_50k.json"), fan_in=4).collect()
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in bins.values():
+        end = 0
+        for at, n in sorted(places):
+            assert at == end
+            end += n
+        assert end <= 1024
+    merged = [df.count() for name, df in seen if name == "merged-bins"]
+    assert len(bins) == 400 and len(merged) == 2 and merged[1] <= 4 * 17

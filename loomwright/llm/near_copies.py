@@ -218,7 +218,15 @@ def row_hash(key: str, text: str) -> Column:
 
 def near_copies(docs: DataFrame, shingle: int = 5, max_distance: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns key, row (its row_hash), component_id (smallest key reachable by similarities of 4/5 or more) and kept for
-    each row: of a component, the row with the smallest key and of those the one with the smallest hash is kept."""
+    each row: of a component, the row with the smallest key and of those the one with the smallest hash is kept.
+
+    Batches for Python are small meanwhile: pairs bring two sets each, which stand outside of the heap.
+    """
+    with store.settings(docs.sparkSession, spark_sql_execution_arrow_maxBytesPerBatch="8m"):
+        return _near_copies(docs, shingle, max_distance, key, text)
+
+
+def _near_copies(docs: DataFrame, shingle: int, max_distance: int, key: str, text: str) -> DataFrame:
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("k"), row_hash(key, text).alias("r"), F.col(text).alias("t"))
     marked = store.materialize(_nodes(rows, shingle), "shingle-nodes")

@@ -18,6 +18,11 @@ PURPOSES = ["As input for a later step", "To make a review easier", "For a short
 OUTPUTS = ["The result wanted is this", "What should come back is this", "Deliver the outcome of this"]
 WARNINGS = ["Without skipping details, ", "Not loosely but with care, ", "Leaving nothing aside, "]
 
+#: Words of invented clusters.
+VERBS, FORMS = ["Summarize", "Rewrite", "Explain", "Compare", "Outline", "Check"], ["a table", "three points", "plain words", "one paragraph", "a list"]
+TOPICS = ["the harvest report", "a travel diary", "the meeting notes", "a bridge survey", "the museum guide", "a river map", "the choir schedule"]
+OPENINGS = ["", "Please ", "Kindly ", "As an editor, ", "For the archive, ", "Before noon, ", "With care, ", "Once more, ", "In this order, ", "For new readers, "]
+
 
 def _lowered(text: Column) -> Column:
     """Without closing marks, the first letter small."""
@@ -99,15 +104,12 @@ def invented_clusters(spark: SparkSession, clusters: int = 50, variants: int = 1
 
     A cluster is a verb, a form and a topic; a variant wraps them in other words. The shortest variant is canonical.
     """
-    verbs, forms = ["Summarize", "Rewrite", "Explain", "Compare", "Outline", "Check"], ["a table", "three points", "plain words", "one paragraph", "a list"]
-    topics = ["the harvest report", "a travel diary", "the meeting notes", "a bridge survey", "the museum guide", "a river map", "the choir schedule"]
-    openings = ["", "Please ", "Kindly ", "As an editor, ", "For the archive, ", "Before noon, ", "With care, ", "Once more, ", "In this order, ", "For new readers, "]
     pick = lambda options, at: F.get(F.array(*map(F.lit, options)), (at % len(options)).cast("int"))
     c, v = F.col("id") % clusters, (F.col("id") / clusters).cast("long")
     rows = spark.range(clusters * variants).select(F.col("id").alias("id"), (c + 1).alias("cluster_id"), v.alias("variant_id"))
     c0, v = F.col("cluster_id") - 1, F.col("variant_id")
-    verb, opening = pick(verbs, c0), pick(openings, v)
-    body = F.concat(F.when(opening == "", verb).otherwise(F.lower(verb)), F.lit(" "), pick(topics, (c0 / len(verbs)).cast("long") + c0), F.lit(" as "), pick(forms, c0), F.when(v >= len(openings), F.concat(F.lit(", part "), v.cast("string"))).otherwise(F.lit("")), F.lit("."))
+    verb, opening = pick(VERBS, c0), pick(OPENINGS, v)
+    body = F.concat(F.when(opening == "", verb).otherwise(F.lower(verb)), F.lit(" "), pick(TOPICS, (c0 / len(VERBS)).cast("long") + c0), F.lit(" as "), pick(FORMS, c0), F.when(v >= len(OPENINGS), F.concat(F.lit(", part "), v.cast("string"))).otherwise(F.lit("")), F.lit("."))
     rows = rows.withColumn("category", F.lower(verb)).withColumn("text", F.concat(opening, body))
     shortest = F.min(F.struct(F.size(F.split("text", " ")).alias("n"), F.col("variant_id"), F.col("text"))).over(Window.partitionBy("cluster_id"))
     rows = rows.withColumn("b", shortest)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.functions.rouge import rouge_l
 from loomwright.functions.text import mean_or_zero
+from loomwright.operators.storage import keep
 
 #: The five modes of a baseline comparison and what they switch on.
 MODES = {
@@ -30,19 +32,40 @@ def share_at_least(c: Column, threshold: float) -> Column:
 def percentiles(rows: DataFrame, value: str, ps: list[float], by: list[str] | None = None) -> DataFrame:
     """(by..., p, value): the value at rank min(int(n * p), n - 1) of each group.
 
-    Equal values are counted before they are ranked, and ranks come from running counts, so no group is
-    gathered into an array.
+    Equal values are counted first; counts are dealt into ranges of (by, value), and ranks come from the counts of whole
+    ranges before and running counts inside, so no group is in one task.
     """
     by = by or []
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(*by).orderBy(value)
-    ranked = counted.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    wanted = ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
+    # Dealt by ranges once and kept, as a place in a range must not change between its two uses.
+    dealt = keep(counted.repartitionByRange(n, *by, value).withColumn("__r", F.spark_partition_id()), "value-counts")
+    # A row for each range of each group.
+    sizes = dealt.groupBy(*by, "__r").agg(F.sum("c").alias("m"))
+    group = Window.partitionBy(*by)
+    before = sizes.select(*by, "__r", (F.sum("m").over(group.orderBy("__r")) - F.col("m")).alias("before"), F.sum("m").over(group).alias("n"))
+    wanted = before.join(sizes, [*by, "__r"]).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
     at = F.least((F.col("n") * F.col("p")).cast("long"), F.col("n") - 1)
-    inside = wanted.where((at < F.col("upto")) & (at >= F.col("upto") - F.col("c")))
+    wanted = wanted.withColumn("at", at - F.col("before")).where((F.col("at") >= 0) & (F.col("at") < F.col("m")))
+    ranked = dealt.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "__r").orderBy(value)))
+    inside = ranked.join(wanted.select(*by, "__r", "p", "at"), [*by, "__r"]).where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("c")))
     return inside.select(*by, "p", F.col(value).alias("value"))
 
 
+def rate_of_external(ratio: float, least: float = 0.05, most: float = 1.0) -> float:
+    """The share of tokens to keep that an external compressor is asked for: one less the ratio, within its limits."""
+    return min(most, max(least, 1.0 - ratio))
+
+
+def quality(rows: DataFrame, reference: str, output: str, key: str = "doc_id", threshold: float = 0.85) -> DataFrame:
+    """One row for two output columns: pairs, mean, least and greatest ROUGE-L, share at or above the threshold, and whether
+    the mean meets it. Rows without one of the outputs don't count."""
+    scored = rows.where(F.col(reference).isNotNull() & F.col(output).isNotNull()).select(rouge_l(F.col(reference), F.col(output)).alias("r"))
+    return scored.agg(
+        F.count("*").alias("pairs"), mean_or_zero(F.col("r")).alias("avg_rouge_l"), F.min("r").alias("min_rouge_l"), F.max("r").alias("max_rouge_l"), share_at_least(F.col("r"), threshold).alias("share_above"), (mean_or_zero(F.col("r")) >= threshold).alias("meets_goal")
+    )
+
+
 def summary(requests: DataFrame, by: list[str], reduction: str = "token_reduction", rouge: str = "rouge_l", hit: str = "cache_hit", latency: str = "latency_ms") -> DataFrame:
     """Six metrics for each group: mean reduction and ROUGE-L, p50 and p99 latency, hit rate, requests."""
     means = requests.groupBy(*by).agg(mean_or_zero(F.col(reduction)).alias("avg_token_reduction"), mean_or_zero(F.col(rouge)).alias("avg_rouge_l"), hit_rate(F.col(hit)).alias("unifier_hit_rate"), F.count("*").alias("total_requests"))

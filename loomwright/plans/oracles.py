@@ -157,6 +157,10 @@ open AS (SELECT *, trim(coalesce(text, ''), E' \\n\\t\\r') <> '' AS o FROM conve
 k AS (SELECT conv_id, min(turn) FILTER (WHERE role = 'system' AND o) AS s, max(turn) FILTER (WHERE role = 'user' AND o) AS u, max(turn) AS e FROM open GROUP BY conv_id)"""
 
 
+def _listed(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
 def _pick(options: list[str]) -> str:
     listed = ", ".join(f"'{o}'" for o in options)
     return f"[{listed}][('0x' || substr(md5(x || '42'), 1, 6))::BIGINT % {len(options)} + 1]"
@@ -165,6 +169,20 @@ def _pick(options: list[str]) -> str:
 _NEAREST = "list_sort(list(value))[least(trunc(count(*) * p)::INT + 1, count(*))]"
 _LOWERED = "lower(substr(b, 1, 1)) || substr(b, 2)"
 
+PARAPHRASES = f"""b AS (SELECT item_id, trim(text, E' \\n\\t\\r') AS x, regexp_replace(trim(text, E' \\n\\t\\r'), '[.!?]+$', '') AS b FROM benchmark WHERE text IS NOT NULL),
+made AS (
+  SELECT item_id, 'conditional' AS transform, 'Given the input below, ' || {_LOWERED} || '.' AS text FROM b WHERE x <> '' AND NOT (lower(x) LIKE 'if %' OR lower(x) LIKE 'when %' OR lower(x) LIKE 'given %')
+  UNION ALL SELECT item_id, 'passive', 'The following task should be completed: ' || {_LOWERED} || '.' FROM b WHERE regexp_matches(lower(x), '^(?:{"|".join(generate.ACTION_VERBS)})')
+  UNION ALL SELECT item_id, 'purpose', {_pick(generate.PURPOSES)} || ', ' || {_LOWERED} || '.' FROM b WHERE x <> ''
+  UNION ALL SELECT item_id, 'output_first', {_pick(generate.OUTPUTS)} || ': ' || {_LOWERED} || '.' FROM b WHERE x <> ''
+  UNION ALL SELECT item_id, 'negation', {_pick(generate.WARNINGS)} || {_LOWERED} || '.' FROM b WHERE x <> '')"""
+
+#: Each user prompt twice, compressed and unified in the order run, key.
+_EXPERIMENT = f"""WITH RECURSIVE u AS (SELECT conv_id * 1000 + turn AS o, text FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+runs AS (SELECT o + r * (SELECT max(o) + 1 FROM u) AS doc_id, text FROM u, (SELECT unnest([0, 1]) AS r)),
+{SEGMENTS.replace("FROM documents", "FROM runs")}, {UNIGRAMS}, {SCORES}, {_selected("[0.40]")}, {_unified(_vectors("result"), 0.95)},
+res AS (SELECT *, {REDUCTION} AS red FROM result)"""
+
 ORACLES: dict[str, str] = {
     "segments": f"WITH {SEGMENTS} SELECT prompt.doc_id, count(segment) AS n_segments, coalesce(sum(least(len(toks), 4096)), 0)::BIGINT AS n_tokens FROM prompt LEFT JOIN seg USING (doc_id) GROUP BY prompt.doc_id",
     "guarded_segments": f"WITH {SEGMENTS} SELECT doc_id, idx, substr(segment, 1, 120) AS preview, least(len(toks), 64) AS token_count, len(toks) > 64 AS truncated FROM seg WHERE regexp_matches(segment, '{_GUARD}')",
@@ -243,12 +261,28 @@ SELECT source, 0.4::DOUBLE AS compression_ratio, mode, 'ok' AS status, a AS avg_
     "derived_metrics": "WITH s AS (SELECT avg(value) FILTER (WHERE event_id % 2 = 0) AS a FROM events GROUP BY user_id, event_type) SELECT count(*) AS benchmark_runs, coalesce(sum(a), 0) / greatest(1, count(a)) AS avg_token_reduction, 0::DOUBLE AS avg_unifier_hit_rate FROM s",
     "summary_table": """SELECT 'benchmark' AS row_type, event_type AS mode, avg(value) AS avg_token_reduction, NULL::DOUBLE AS tau, NULL::BIGINT AS total_prompts FROM events GROUP BY event_type
 UNION ALL SELECT 'tau_sweep', NULL, NULL, (label / 10.0)::DOUBLE, count(*) FROM embeddings GROUP BY label""",
-    "paraphrases": f"""WITH b AS (SELECT item_id, trim(text, E' \\n\\t\\r') AS x, regexp_replace(trim(text, E' \\n\\t\\r'), '[.!?]+$', '') AS b FROM benchmark WHERE text IS NOT NULL)
-SELECT item_id, 'conditional' AS transform, 'Given the input below, ' || {_LOWERED} || '.' AS text FROM b WHERE x <> '' AND NOT (lower(x) LIKE 'if %' OR lower(x) LIKE 'when %' OR lower(x) LIKE 'given %')
-UNION ALL SELECT item_id, 'passive', 'The following task should be completed: ' || {_LOWERED} || '.' FROM b WHERE regexp_matches(lower(x), '^(?:{"|".join(generate.ACTION_VERBS)})')
-UNION ALL SELECT item_id, 'purpose', {_pick(generate.PURPOSES)} || ', ' || {_LOWERED} || '.' FROM b WHERE x <> ''
-UNION ALL SELECT item_id, 'output_first', {_pick(generate.OUTPUTS)} || ': ' || {_LOWERED} || '.' FROM b WHERE x <> ''
-UNION ALL SELECT item_id, 'negation', {_pick(generate.WARNINGS)} || {_LOWERED} || '.' FROM b WHERE x <> ''""",
+    "paraphrases": f"WITH {PARAPHRASES} SELECT item_id, transform, text FROM made",
+    "expanded_clusters": f"""WITH {PARAPHRASES},
+every AS (SELECT item_id, 0 AS turn, x AS text FROM b WHERE x <> '' UNION ALL SELECT item_id, list_position(['{"', '".join(generate.TRANSFORMS)}'], transform), text FROM made),
+first AS (SELECT item_id % 5 AS cluster_id, turn, item_id, text, row_number() OVER (PARTITION BY item_id % 5, regexp_replace(text, '\\s+', ' ', 'g') ORDER BY turn, item_id, text) AS r FROM every),
+nth AS (SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY turn, item_id) - 1 AS variant_id, text FROM first WHERE r = 1)
+SELECT * FROM nth WHERE variant_id < 40""",
+    "invented_paraphrases": f"""WITH n AS (SELECT id, id % 50 AS c, id // 50 AS v FROM (SELECT unnest(range(500)) AS id)),
+w AS (SELECT id, c, v, {_listed(generate.VERBS)}[c % {len(generate.VERBS)} + 1] AS verb, {_listed(generate.OPENINGS)}[v % {len(generate.OPENINGS)} + 1] AS opening,
+  {_listed(generate.TOPICS)}[(c // {len(generate.VERBS)} + c) % {len(generate.TOPICS)} + 1] AS topic, {_listed(generate.FORMS)}[c % {len(generate.FORMS)} + 1] AS form FROM n),
+t AS (SELECT id, lower(verb) AS category, c + 1 AS cluster_id, v AS variant_id,
+  opening || CASE WHEN opening = '' THEN verb ELSE lower(verb) END || ' ' || topic || ' as ' || form || CASE WHEN v >= {len(generate.OPENINGS)} THEN ', part ' || v ELSE '' END || '.' AS text FROM w),
+s AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY len(string_split(text, ' ')), variant_id, text) AS r FROM t)
+SELECT s.id, s.category, s.cluster_id, s.variant_id, s.text, s.variant_id = f.variant_id AS is_canonical, f.text AS canonical FROM s JOIN s f ON f.cluster_id = s.cluster_id AND f.r = 1""",
+    "experiment_modes": f"""{_EXPERIMENT}
+SELECT 'raw' AS mode, count(*) AS total_requests, 0::DOUBLE AS unifier_hit_rate, 0::DOUBLE AS avg_token_reduction, count(DISTINCT text) AS final_prompts FROM runs
+UNION ALL SELECT 'compress_only', count(*), 0, coalesce(avg(red) FILTER (WHERE red > 0), 0), count(DISTINCT compressed) FROM res
+UNION ALL SELECT 'full', count(*), avg(cache_hit::INT), coalesce(avg(red) FILTER (WHERE red > 0), 0), count(DISTINCT c.compressed) FROM res JOIN uni ON uni.k = res.doc_id JOIN result c ON c.doc_id = uni.leader""",
+    "percentiles_of_all": f"SELECT p, {_NEAREST} AS value FROM events, (SELECT unnest([0.0, 0.5, 0.9, 1.0])::DOUBLE AS p) WHERE value IS NOT NULL GROUP BY p",
+    "all_user_prompts": "SELECT conv_id, trim(text, E' \\n\\t\\r') AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user' AND trim(coalesce(text, ''), E' \\n\\t\\r') <> '') WHERE r = 1",
+    "whole_bundle": """WITH a AS (SELECT 0 AS s, item_id AS o, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents UNION ALL SELECT 2, item_id, text FROM benchmark),
+d AS (SELECT text, s, o FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY s, o) AS r FROM a) WHERE r = 1)
+SELECT row_number() OVER (ORDER BY s, o) - 1 AS ord, text FROM d""",
     "workload_cross": "SELECT d.source AS cluster, b.item_id AS paraphrase_index, d.text || E'\\n\\nTask: ' || b.text AS text FROM (SELECT source, text FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r = 1) d JOIN benchmark b ON 'src' || (b.item_id % 20)::VARCHAR = d.source",
     "prompt_bundle": """WITH a AS (SELECT 0 AS s, item_id AS o, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents UNION ALL SELECT 2, item_id, text FROM benchmark),
 d AS (SELECT text, s, o FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY s, o) AS r FROM a) WHERE r = 1)
@@ -278,6 +312,7 @@ ROUNDED = {
     "prefix_diversity": ["unique_final_prompts_per_cluster"],
     "mode_summary": ["avg_token_reduction", "unifier_hit_rate", "avg_pipeline_ms", "avg_backend_ms", "avg_backend_run2_ms", "speedup_run2_vs_run1", "unique_final_prompts_per_cluster"],
     "baseline_comparison": ["unifier_hit_rate"],
+    "experiment_modes": ["unifier_hit_rate", "avg_token_reduction"],
     "best_mode": ["score"],
     "share_above": ["share"],
     "result_roll_up": ["avg_token_reduction"],

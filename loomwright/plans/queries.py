@@ -332,6 +332,26 @@ def unstemmed_overlap(spark, sf_dir):
     return docs.join(first, "lang").select("doc_id", jaccard(F.col("w"), F.col("f")).alias("overlap"))
 
 
+@query
+def percentiles_of_all(spark, sf_dir):
+    """Percentiles of one group that holds every row."""
+    return metrics.percentiles(table(spark, sf_dir, "events"), "value", [0.0, 0.5, 0.9, 1.0])
+
+
+@query
+def all_user_prompts(spark, sf_dir):
+    """First user prompts of all conversations."""
+    return routing.first_user_prompts(table(spark, sf_dir, "conversations"))
+
+
+@query
+def whole_bundle(spark, sf_dir):
+    """A bundle of all sources, without a limit."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), "text")
+    docs = _documents(spark, sf_dir).withColumnRenamed("doc_id", "ord")
+    return sources.bundle([items, docs, items])
+
+
 @query
 def rouge_scores(spark, sf_dir):
     docs = _documents(spark, sf_dir)

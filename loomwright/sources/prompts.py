@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwright.functions.text import strip
 from loomwright.operators.dedupe import first_occurrences
 from loomwright.operators.routing import first_user_prompts
+from loomwright.operators.storage import numbered
 
 
 def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -91,5 +92,7 @@ def bundle(sources: list[DataFrame], n: int | None = None) -> DataFrame:
     for i, df in enumerate(sources):
         rows = df.select(F.lit(i).alias("src"), F.col("ord").alias("at"), "text")
         ranked = rows if ranked is None else ranked.unionByName(rows)
-    rows = first_occurrences(ranked, "text", ["src", "at"]).orderBy("src", "at")
-    return _numbered(rows.limit(n) if n is not None else rows, ["src", "at"]).select("ord", "text")
+    rows = first_occurrences(ranked, "text", ["src", "at"])
+    if n is not None:
+        return _numbered(rows.orderBy("src", "at").limit(n), ["src", "at"]).select("ord", "text")
+    return numbered(rows.select(F.struct("src", "at").alias("o"), "text"), "o", "ord").select("ord", "text")

@@ -54,3 +54,19 @@ def summary_rows(benchmarks: DataFrame, taus: DataFrame) -> DataFrame:
 def write_csv(rows: DataFrame, path: str) -> None:
     """One CSV file with a header."""
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def show_table(rows: DataFrame, columns: list[str] | None = None, digits: int = 3, limit: int = 50) -> str:
+    """A report of at most ``limit`` rows as a text table: numbers to the right, missing values as a dash."""
+    names = columns or rows.columns
+    cells = [[_cell(r[c], digits) for c in names] for r in rows.select(*names).limit(limit).collect()]
+    right = [all(isinstance(x, (int, float)) or x == "-" for x, _ in (row[i] for row in cells)) for i in range(len(names))]
+    width = [max([len(n), *(len(row[i][1]) for row in cells)]) for i, n in enumerate(names)]
+    line = lambda values: "  ".join(v.rjust(w) if r else v.ljust(w) for v, w, r in zip(values, width, right, strict=True)).rstrip()
+    return "\n".join([line(names), line(["-" * w for w in width]), *(line([t for _, t in row]) for row in cells)])
+
+
+def _cell(value: object, digits: int) -> tuple[object, str]:
+    if value is None:
+        return "-", "-"
+    return value, f"{value:.{digits}f}" if isinstance(value, float) else str(value)

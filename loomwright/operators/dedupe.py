@@ -9,6 +9,9 @@ from loomwright.functions.text import jaccard, word_set
 from loomwright.operators.storage import keep, spread
 from loomwright.operators.unify import first_independent_set
 
+#: Words that the order of close_pairs puts last.
+COMMON_WORDS = 1000
+
 
 def first_occurrences(rows: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
     """The first row of each distinct text by ``order``: a partial minimum, so a common text costs one row a task."""
@@ -36,15 +39,25 @@ def close_pairs(rows: DataFrame, cluster: str, min_overlap: float, key: str = "o
     """(i, j, overlap) for i < j of one cluster with an overlap of at least ``min_overlap``, without comparing all pairs.
 
     Two sets that overlap so much share one of the first n - ceil(min_overlap * n) + 1 of their n words in any fixed order;
-    the order is that of a hash. Only rows that share such a word, and whose sizes allow the overlap, are compared.
+    the order is that of a hash, with the words that most rows hold last, the most common at the end. Only rows that share
+    such a word, and whose sizes allow the overlap, are compared.
     """
     rows = spread(rows.select(F.col(cluster).alias("g"), F.col(key).alias("k"), F.col(text).alias("t")))
     words = rows.select("g", "k", word_set(F.col("t")).alias("w")).where(F.size("w") > 0)
-    sets = keep(words, "word-sets")
+    return _close(keep(words, "word-sets"), min_overlap)
+
+
+def _close(sets: DataFrame, min_overlap: float) -> DataFrame:
+    """close_pairs of word sets (g, k, w)."""
+    held = sets.select(F.explode("w").alias("x")).groupBy("x").count()
+    common = [r.x for r in held.orderBy(F.desc("count"), "x").limit(COMMON_WORDS).collect()][::-1]
+    last = F.array(*map(F.lit, common)) if common else F.array().cast("array<string>")
     n = F.size("w")
     # A little below the threshold, so that rounding loses no pair.
     need = n - F.ceil(n * F.lit(min_overlap - 1e-9)).cast("int") + 1
-    first = F.slice(F.array_sort(F.transform("w", lambda x: F.xxhash64(x))), F.lit(1), F.least(n, F.greatest(F.lit(1), need)))
+    hashed = lambda x: F.xxhash64(x)
+    order = F.concat(F.array_sort(F.transform(F.array_except("w", last), hashed)), F.transform(F.array_intersect(last, F.col("w")), hashed))
+    first = F.slice(order, F.lit(1), F.least(n, F.greatest(F.lit(1), need)))
     marks = sets.select("g", "k", n.alias("n"), F.explode(F.array_distinct(first)).alias("h"))
     a, b = marks.alias("a"), marks.alias("b")
     alike = (F.col("a.g") == F.col("b.g")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.k") < F.col("b.k"))
@@ -60,8 +73,15 @@ def drop_near_duplicates(rows: DataFrame, cluster: str, max_overlap: float = 0.9
 
     Keys are unique. Rows without words overlap with nothing.
     """
-    close = close_pairs(rows, cluster, max_overlap, key, text).select("i", "j")
-    state = first_independent_set(rows.select(F.col(key).alias("k")), keep(close, "close-pairs"))
+    given = spread(rows.select(F.col(cluster).alias("g"), F.col(key).alias("k"), F.col(text).alias("t")))
+    sets = keep(given.select("g", "k", word_set(F.col("t")).alias("w")), "word-sets")
+    # Of rows with one word set only the first can stay, and what is close to one is close to all.
+    name = [F.xxhash64(F.array_sort("w")).alias("h1"), F.hash(F.array_sort("w"), F.size("w")).alias("h2")]
+    own = F.when(F.size("w") == 0, F.col("k")).alias("own")
+    firsts = keep(sets.select("g", "k", own, *name).groupBy("g", "own", "h1", "h2").agg(F.min("k").alias("k")).select("k"), "first-rows")
+    distinct = keep(sets.where(F.size("w") > 0).join(firsts, "k", "left_semi"), "distinct-sets")
+    close = _close(distinct, max_overlap).select("i", "j")
+    state = first_independent_set(firsts, close)
     return rows.join(state.where("leader").select(F.col("k").alias(key)), key, "left_semi")
 
 

@@ -6,7 +6,8 @@ complete the prefix sums. A row goes to the shard in which the middle of its byt
 so a cut is off its equal target by at most half a row.
 
 Defined cases: a null text has no bytes and still takes ``overhead`` bytes; equal keys keep the
-order of the scan and get distinct slots; an empty table gives an empty result; a row larger than
+order of the scan and get distinct slots; a null key comes first; a text may have any length; groups of equal texts are
+cut like all rows, since the law is one of bytes and a group may be larger than a shard; an empty table gives an empty result; a row larger than
 a whole shard leaves the shards it covers empty. Other columns of the input are ignored, so their
 names cannot clash.
 """

@@ -62,6 +62,7 @@ def event_log(results: DataFrame, endpoint: str = "chat", model: str = "default"
     def take(name: str, kind: str) -> Column:
         return (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
 
+    # The names and order of a log row's fields.
     return results.select(
         take("request_id", "string"),
         take("timestamp", "double"),

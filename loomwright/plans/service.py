@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomwright.config import Options
 from loomwright.operators import metrics, routing
-from loomwright.operators.storage import keep
+from loomwright.operators.storage import keep, numbered
 from loomwright.plans.pipeline import process
 
 
@@ -39,14 +39,14 @@ def chat_completions(messages: DataFrame, options: Options | None = None, conv:
     """
     options = options or Options()
     routed = keep(routing.route(messages, options.serving.compressible_roles, conv, turn, role, text), "routed")
-    # Conversations have fewer than 2 ** 20 turns, so this number is in (conv, turn) order.
-    number = F.col(conv).cast("long") * F.lit(1 << 20) + F.col(turn).cast("long")
+    # Numbers in (conv, turn) order, whatever their size.
+    routed = keep(numbered(routed.withColumn("__at", F.struct(conv, turn)), "__at", "n"), "numbered").drop("__at")
+    number = F.col("n")
     todo = routed.where("processed").select(number.alias("n"), F.col(text).alias("text"))
     done = keep(process(todo, options=options, key="n"), "processed")
-    numbered = routed.withColumn("n", number)
-    forwarded = numbered.join(done.select("n", "final_prompt"), "n", "left").select(conv, turn, role, F.coalesce("final_prompt", text).alias(text))
+    forwarded = routed.join(done.select("n", "final_prompt"), "n", "left").select(conv, turn, role, F.coalesce("final_prompt", text).alias(text))
 
-    rec = routing.recorded_prompts(messages, conv, turn, role, text).withColumn("n", number)
+    rec = routing.recorded_prompts(messages, conv, turn, role, text).join(routed.select(conv, turn, "n"), [conv, turn])
     fields = ["final_prompt", "original_tokens", "compressed_tokens", "token_reduction", "cache_hit", "similarity", "canonical_id"]
     joined = rec.join(done.select("n", *fields), "n", "left")
     results = joined.select(

@@ -63,6 +63,18 @@ def json_prompts(spark: SparkSession, path: str, fields: list[str] | None = None
     return _numbered(rows, ["file_path", "at", "sub"]).select("ord", "text", F.coalesce(given, F.col("ord")).alias("cluster_id"))
 
 
+def prompts_or_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, text): the prompts of files that are JSON lists, or objects with a list; the lines of all other files."""
+    whole = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value", F.try_parse_json("value").alias("v"))
+    whole_list, inner_list = (F.coalesce(F.schema_of_variant(F.try_variant_get("v", root, "variant")).startswith("ARRAY"), F.lit(False)) for root in ("$", "$.prompts"))
+    lists = whole_list | inner_list
+    plain = whole.where(~lists).select("file_path", F.posexplode(F.split("value", "\n")).alias("at", "text"))
+    items = _elements(spark, path).unionAll(_elements(spark, path, "$.prompts"))
+    named = items.select("file_path", "at", F.when(_is_text(F.col("item")), F.col("item").cast("string")).otherwise(F.coalesce(_field(F.col("item"), ["prompt", "text"]), F.lit(""))).alias("text"))
+    rows = named.unionAll(plain).withColumn("text", strip(F.col("text"))).where("text != ''")
+    return _numbered(rows, ["file_path", "at"]).select("ord", "text")
+
+
 def workload_clusters(spark: SparkSession, path: str) -> DataFrame:
     """(cluster, paraphrase_index, text) of a list of {cluster, prompts}."""
     rows = spark.read.schema("cluster string, prompts array<string>").json(path, multiLine=True)

@@ -177,3 +177,50 @@ def test_stats_log_and_search_streams(spark, tmp_path):
     inv = vec.withColumnRenamed("vec_id", "canonical_id")
     jobs.search_stream(spark.readStream.schema(vec.schema).parquet(str(tmp_path / "vec")), lambda s: inv, 0.8, lambda df, n: seen.extend(df.collect()), str(tmp_path / "cp2"), once=True).awaitTermination()
     assert len(seen) == 1 and seen[0].hit
+
+
+def test_prompts_or_lines(spark, tmp_path):
+    from loomwright.sources.prompts import prompts_or_lines
+
+    (tmp_path / "a.json").write_text('["one", {"text": " two "}, ""]')
+    (tmp_path / "b.json").write_text('{"prompts": [{"prompt": "three"}]}')
+    (tmp_path / "c.json").write_text('{"other": 1}')
+    (tmp_path / "d.txt").write_text("four\n\n five\n")
+    rows = prompts_or_lines(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r.text for r in rows] == ["one", "two", "three", '{"other": 1}', "four", "five"]
+
+
+def test_reports_and_quality(spark):
+    from loomwright.operators import metrics
+    from loomwright.sources.sinks import show_table
+
+    df = spark.createDataFrame([(1, "a b c", "a b c"), (2, "a b c d", "a x c d"), (3, None, "x")], "doc_id long, r string, o string")
+    q = metrics.quality(df, "r", "o").first()
+    assert (q.pairs, q.min_rouge_l, q.max_rouge_l, q.share_above, q.meets_goal) == (2, 0.75, 1.0, 0.5, True)
+    assert metrics.rate_of_external(0.4) == 0.6 and metrics.rate_of_external(0.99) == 0.05
+    text = show_table(spark.createDataFrame([("full", 0.5), ("raw", None)], "mode string, rate double"))
+    assert text.split("\n") == ["mode   rate", "----  -----", "full  0.500", "raw       -"]
+
+
+def test_hooks_and_modes(spark):
+    from loomwright.operators.compress import compress
+    from loomwright.plans import pipeline
+
+    texts = ["First part here. Second part is there. Third one.", "Alone it stands", "First part here. Second part is there. Third one."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    last = compress(df, [0.6], scorer=lambda s: s.select("doc_id", "idx", F.col("idx").cast("double").alias("score"))).orderBy("doc_id").collect()
+    assert last[0].compressed == "Third one."
+    embed = lambda c: F.array(F.char_length(c).cast("double"), F.lit(1.0))
+    done = pipeline.process(df, tau=0.9, enable_compression=False, embedder=embed)
+    assert sum(r.cache_hit for r in done.collect()) == 2
+    known = pipeline.inventory(pipeline.process(df, tau=0.95))
+    again = pipeline.process(df, tau=0.95, known=known).orderBy("doc_id").collect()
+    assert all(r.cache_hit and r.similarity > 0.99 for r in again) and [r.canonical_id for r in again] == [0, 1, 0]
+    records = pipeline.experiment(df.select(F.col("doc_id").alias("ord"), F.lit("c").alias("cluster"), "text"), tau=0.95)
+    m = pipeline.compare_modes(records).first()
+    assert m.requests == 6 and m.raw_hit_rate == 0 and m.full_hit_rate > 0.5 and m.raw_prompts_per_cluster == 2
+    rows = spark.createDataFrame([(i, i % 2, i // 2, t) for i, t in enumerate([texts[0], texts[1], texts[0], texts[1], texts[0], "quite another"])], "id long, cluster_id long, variant_id long, text string")
+    hits = {r.cluster_id: (r.subsequent_hits, r.subsequent_total) for r in pipeline.unifier_evaluation(rows, 0.95).collect()}
+    assert hits == {0: (2, 2), 1: (1, 2)}
+    assert pipeline.unifier_evaluation(rows, 0.95, max_clusters=1).count() == 1
+    assert pipeline.warmed_inventory(df, 0.95).count() == 2

@@ -21,9 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="loomwright-"))
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder."""
+    return f"{shared_folder(spark)}/loomwright/{name}-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once and reads it back."""
-    path = f"{shared_folder(df.sparkSession)}/loomwright/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -290,7 +290,30 @@ SELECT row_number() OVER (ORDER BY s, o) - 1 AS ord, text FROM d ORDER BY s, o L
     "unstemmed_overlap": """WITH w AS (SELECT doc_id, lang, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents),
 f AS (SELECT lang, w AS f FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM w) WHERE r = 1)
 SELECT doc_id, CASE WHEN len(w) = 0 OR len(f) = 0 THEN 0 ELSE len(list_intersect(w, f)) / (len(w) + len(f) - len(list_intersect(w, f)))::DOUBLE END AS overlap FROM w JOIN f USING (lang)""",
+    "line_file_prompts": """WITH l AS (SELECT doc_id, pl, trim(parts[pl], E' \\n\\t\\r') AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pl FROM (SELECT doc_id, string_split(coalesce(text, ''), E'\\n') AS parts FROM documents)))
+SELECT row_number() OVER (ORDER BY doc_id, pl) - 1 AS ord, text FROM l WHERE text <> ''""",
+    "json_file_prompts": """WITH i AS (SELECT item_id, CASE WHEN item_id % 3 <> 1 THEN text END AS p, CASE WHEN item_id % 3 <> 0 THEN 't ' || text END AS t, CASE WHEN item_id % 3 = 2 THEN item_id END AS c, row_number() OVER (ORDER BY item_id) - 1 AS ord FROM benchmark),
+n AS (SELECT c, row_number() OVER (ORDER BY item_id) - 1 AS ord, trim(coalesce(t, p), E' \\n\\t\\r') AS text FROM i WHERE trim(coalesce(t, p, ''), E' \\n\\t\\r') <> '')
+SELECT ord, coalesce(p, t, '') AS text, coalesce(c, ord) AS cluster_id, 'prompt' AS by FROM i UNION ALL SELECT ord, text, coalesce(c, ord), 'text' FROM n""",
+    "cluster_file_prompts": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS ord, text, row_number() OVER (ORDER BY item_id) - 1 AS cluster_id FROM benchmark",
+    "workload_file": "SELECT 'c' || (item_id // 10) AS cluster, row_number() OVER (PARTITION BY item_id // 10 ORDER BY item_id) - 1 AS paraphrase_index, text FROM benchmark",
+    "paraphrase_file": "SELECT item_id // 10 AS cluster_id, 'k' AS category, row_number() OVER (PARTITION BY item_id // 10 ORDER BY CASE WHEN item_id % 10 > 2 THEN 10 - item_id % 10 ELSE 0 END, item_id) - 1 AS place, text FROM benchmark",
+    "mixed_file_prompts": """WITH m AS (SELECT 0 AS f, item_id, 0 AS pl, trim(text, E' \\n\\t\\r') AS text FROM benchmark
+UNION ALL SELECT 1, item_id, pl, trim(string_split(text, E'\\n')[pl], E' \\n\\t\\r') FROM (SELECT item_id, text, unnest(range(1, len(string_split(text, E'\\n')) + 1)) AS pl FROM benchmark))
+SELECT row_number() OVER (ORDER BY f, item_id, pl) - 1 AS ord, text FROM m WHERE text <> ''""",
+    "inventory_round_trip": f"WITH RECURSIVE {_unified(_EMBEDDED, 0.30)} SELECT canonical_id, 'label ' || label AS text, vec_id::INT AS token_count, len(embedding) AS dims FROM uni JOIN embeddings ON vec_id = k WHERE NOT cache_hit",
+    "shorter_canonicals": """WITH t AS (SELECT source, doc_id, text, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS a, row_number() OVER (PARTITION BY source ORDER BY n, doc_id) AS b FROM t)
+SELECT x.source AS canonical_id, CASE WHEN y.n < x.n THEN y.text ELSE x.text END AS text, least(x.n, y.n) AS token_count FROM r x JOIN r y ON x.source = y.source AND x.a = 1 AND y.b = 1""",
+    "appended_log": "SELECT event_id, event_type, value, CASE WHEN event_id % 2 = 0 THEN props END AS props FROM events",
+    "unify_only": f"""WITH RECURSIVE raw AS (SELECT doc_id, coalesce(text, '') AS compressed FROM documents), {_unified(_vectors('raw'), 0.95)}
+SELECT r.doc_id, c.compressed AS final_prompt, len(list_filter(string_split_regex(r.compressed, '\\s+'), lambda x: x <> '')) AS compressed_tokens, cache_hit, canonical_id
+FROM raw r JOIN uni ON uni.k = r.doc_id JOIN raw c ON c.doc_id = uni.leader""",
+    "compress_only": f"{COMPRESS} SELECT doc_id, compressed AS final_prompt, compressed_tokens, false AS cache_hit, NULL::BIGINT AS canonical_id FROM result",
+    "streamed_log": "SELECT event_id, event_type, value FROM events",
 }
+# The same results by another way: from files or streams.
+ORACLES |= {"report_file": ORACLES["service_stats"], "streamed_stats": ORACLES["service_stats"], "streamed_unify": ORACLES["unify_prompts"], "streamed_search": ORACLES["nearest_canonical"]}
 
 #: Sums of doubles depend on their order in the last digits: these columns are compared to six digits.
 ROUNDED = {
@@ -319,5 +342,9 @@ ROUNDED = {
     "derived_metrics": ["avg_token_reduction"],
     "summary_table": ["avg_token_reduction"],
     "unstemmed_overlap": ["overlap"],
+    "report_file": ["unifier_hit_rate", "avg_pipeline_ms"],
+    "streamed_stats": ["unifier_hit_rate", "avg_pipeline_ms"],
+    "streamed_unify": ["similarity"],
+    "streamed_search": ["similarity"],
 }
 ORACLES = {n: q if n not in ROUNDED else "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in ROUNDED[n]) + f") FROM ({q})" for n, q in ORACLES.items()}

@@ -12,11 +12,12 @@ from loomwright.functions.text import is_guarded, jaccard, mean_or_zero, preview
 from loomwright.functions.vectors import hashed_words
 from loomwright.operators import compress as compressing
 from loomwright.operators import dedupe, generate, metrics, routing, scoring, unify
-from loomwright.operators.storage import keep, spread
+from loomwright.operators.storage import fresh_path, keep, spread
 from loomwright.plans import pipeline
 from loomwright.plans.oracles import ROUNDED
 from loomwright.sources import prompts as sources
 from loomwright.sources import sinks
+from loomwright.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -366,3 +367,171 @@ def experiment_modes(spark, sf_dir):
     numbered = rows.select(F.col("conv_id").cast("string").alias("cluster"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text")
     records = pipeline.experiment(numbered, tau=TEXT_TAU)
     return records.groupBy("mode").agg(F.count("*").alias("total_requests"), metrics.hit_rate(F.col("unifier_hit")).alias("unifier_hit_rate"), mean_or_zero(F.when(F.col("token_reduction") > 0, F.col("token_reduction"))).alias("avg_token_reduction"), F.countDistinct("final_prompt").alias("final_prompts"))
+
+
+#: Items of a JSON file that a query writes, and prompts of a cluster in it.
+PER_FILE, PER_CLUSTER = 100, 10
+
+
+def _json_files(rows, item, order, part, name):
+    """Writes a folder of JSON lists, one for each value of ``part``, of at most PER_FILE rows; paths sort like it."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), item.alias("item")))), lambda x: x["item"])
+    path = fresh_path(rows.sparkSession, name)
+    rows.groupBy(F.lpad(part.cast("string"), 12, "0").alias("part")).agg(F.to_json(listed).alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
+def _part(size):
+    return F.floor(F.col("item_id") / size)
+
+
+@query
+def line_file_prompts(spark, sf_dir):
+    """Documents written as lines and read as prompts."""
+    path = fresh_path(spark, "lines")
+    _documents(spark, sf_dir).orderBy("doc_id").select("text").write.text(path)
+    return sources.text_lines(spark, path)
+
+
+@query
+def json_file_prompts(spark, sf_dir):
+    """A third of the items under "prompt", a third under "text", the others under both."""
+    rest = F.col("item_id") % 3
+    item = F.struct(F.when(rest != 1, F.col("text")).alias("prompt"), F.when(rest != 0, F.concat(F.lit("t "), "text")).alias("text"), F.when(rest == 2, F.col("item_id")).alias("cluster_id"))
+    path = _json_files(table(spark, sf_dir, "benchmark"), item, F.col("item_id"), _part(PER_FILE), "json")
+    first = sources.json_prompts(spark, path).withColumn("by", F.lit("prompt"))
+    return first.unionAll(sources.json_prompts(spark, path, ["text", "prompt"], drop_blank=True).withColumn("by", F.lit("text")))
+
+
+def _cluster_files(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").groupBy(_part(PER_CLUSTER).alias("c")).agg(F.array_sort(F.collect_list(F.struct("item_id", "text")))["text"].alias("prompts"))
+    item = F.struct(F.concat(F.lit("c"), F.col("c")).alias("cluster"), F.col("prompts"))
+    return _json_files(rows, item, F.col("c"), F.floor(F.col("c") / PER_CLUSTER), "clusters")
+
+
+@query
+def cluster_file_prompts(spark, sf_dir):
+    return sources.json_prompts(spark, _cluster_files(spark, sf_dir), flatten_clusters=True)
+
+
+@query
+def workload_file(spark, sf_dir):
+    return sources.workload_clusters(spark, _cluster_files(spark, sf_dir))
+
+
+@query
+def paraphrase_file(spark, sf_dir):
+    """Variants of some items have no number."""
+    variant = F.when(F.col("item_id") % PER_CLUSTER > 2, PER_CLUSTER - F.col("item_id") % PER_CLUSTER)
+    item = F.struct(F.col("item_id").alias("id"), F.lit("k").alias("category"), _part(PER_CLUSTER).cast("int").alias("cluster_id"), variant.alias("variant_id"), F.col("text"))
+    path = _json_files(table(spark, sf_dir, "benchmark"), item, F.col("item_id"), _part(PER_FILE), "variants")
+    return sources.paraphrase_clusters(spark, path).select("cluster_id", "category", F.posexplode("variants").alias("place", "text"))
+
+
+@query
+def mixed_file_prompts(spark, sf_dir):
+    """A folder of a JSON list and of lines: the lists' items, then the lines of the other files."""
+    rows = table(spark, sf_dir, "benchmark")
+    path = _json_files(rows, F.col("text"), F.col("item_id"), _part(PER_FILE), "mixed")
+    lines = F.array_join(F.array_sort(F.collect_list(F.struct("item_id", "text")))["text"], "\n")
+    part = F.concat(F.lit("x"), F.lpad(_part(PER_FILE).cast("string"), 12, "0")).alias("part")
+    rows.groupBy(part).agg(lines.alias("value")).write.mode("append").partitionBy("part").text(path)
+    return sources.prompts_or_lines(spark, path)
+
+
+@query
+def inventory_round_trip(spark, sf_dir):
+    """Canonical vectors saved over another inventory and loaded."""
+    rows = table(spark, sf_dir, "embeddings")
+    led = unify.unify(rows, TAU).where("not cache_hit").select("vec_id", "canonical_id").join(rows, "vec_id")
+    entries = led.select("canonical_id", F.concat(F.lit("label "), "label").alias("text"), F.col("vec_id").cast("int").alias("token_count"), F.col("embedding").cast("array<double>").alias("embedding"))
+    path = fresh_path(spark, "inventory")
+    sinks.save_inventory(sinks.load_inventory(spark, path), path + "-empty")
+    sinks.save_inventory(entries, path)
+    loaded = sinks.load_inventory(spark, path).unionAll(sinks.load_inventory(spark, path + "-empty"))
+    return loaded.select("canonical_id", "text", "token_count", F.size("embedding").cast("long").alias("dims"))
+
+
+@query
+def shorter_canonicals(spark, sf_dir):
+    """The first document of each source, replaced by its shortest if that is shorter."""
+    docs = _documents(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    rows = docs.select(F.col("source").alias("canonical_id"), F.col("doc_id").alias("ord"), "text", token_count(F.col("text")).alias("token_count"))
+    first = rows.groupBy("canonical_id").agg(F.min(F.struct("ord", "text", "token_count")).alias("f")).select("canonical_id", "f.text", "f.token_count")
+    return unify.replace_if_shorter(first, rows)
+
+
+@query
+def report_file(spark, sf_dir):
+    path = fresh_path(spark, "report")
+    stats = service_stats(spark, sf_dir)
+    sinks.write_report(stats, path)
+    return spark.read.schema(stats.schema).json(path)
+
+
+@query
+def appended_log(spark, sf_dir):
+    """Events added to a JSON log in two writes."""
+    path = fresh_path(spark, "log")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("props"))
+    sinks.append_log(events.where("event_type = 'click'"), path)
+    sinks.append_log(events.where("event_type <> 'click'"), path)
+    return spark.read.schema(events.schema).json(path)
+
+
+@query
+def unify_only(spark, sf_dir):
+    """The pipeline with compression switched off."""
+    return pipeline.process(_documents(spark, sf_dir), tau=TEXT_TAU, enable_compression=False).select("doc_id", "final_prompt", "compressed_tokens", "cache_hit", "canonical_id")
+
+
+@query
+def compress_only(spark, sf_dir):
+    """The pipeline with unification switched off."""
+    return pipeline.process(_documents(spark, sf_dir), enable_unification=False).select("doc_id", "final_prompt", "compressed_tokens", "cache_hit", "canonical_id")
+
+
+def _stream(spark, sf_dir, name):
+    # A pattern may name one file; a plain path must be a folder.
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.[p]arquet")
+
+
+@query
+def streamed_unify(spark, sf_dir):
+    """Vectors as a stream, against the growing inventory in its state."""
+    path = fresh_path(spark, "unified-stream")
+    rows = jobs.unify_stream(_stream(spark, sf_dir, "embeddings"), TAU)
+    writer = rows.writeStream.option("checkpointLocation", path + "-progress").outputMode("append").trigger(availableNow=True)
+    writer.format("parquet").start(path).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path).drop("block")
+
+
+@query
+def streamed_stats(spark, sf_dir):
+    path = fresh_path(spark, "stats-stream")
+    events = _stream(spark, sf_dir, "events").select((F.col("event_type") == "purchase").alias("cache_hit"), F.col("value").alias("pipeline_total_ms"))
+    stats = jobs.running_stats(events)
+    writer = stats.writeStream.option("checkpointLocation", path + "-progress").outputMode("complete").trigger(availableNow=True)
+    writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.schema(stats.schema).parquet(path)
+
+
+@query
+def streamed_log(spark, sf_dir):
+    path = fresh_path(spark, "log-stream")
+    events = _stream(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    jobs.log_events(events, path, path + "-progress", once=True).awaitTermination()
+    return spark.read.schema(events.schema).json(path)
+
+
+@query
+def streamed_search(spark, sf_dir):
+    """Vectors as a stream, against canonicals that are read anew for each micro-batch."""
+    path = fresh_path(spark, "search-stream")
+    rows = table(spark, sf_dir, "embeddings")
+    led = unify.unify(rows, TAU).where("not cache_hit").select("vec_id", "canonical_id")
+    rows.join(led, "vec_id").select("canonical_id", "embedding").write.parquet(path + "-inventory")
+    jobs.search_stream(
+        _stream(spark, sf_dir, "embeddings"), lambda s: s.read.parquet(path + "-inventory"), TAU, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"), path + "-progress", once=True
+    ).awaitTermination()
+    return spark.read.parquet(path).drop("batch")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import strip
@@ -12,16 +12,17 @@ from loomwright.operators.storage import numbered
 
 
 def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ord from 0. Files of prompts fit one task; larger sources bring an order of their own."""
-    return rows.withColumn("ord", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """Adds ord from 0, by counts of ranges."""
+    return numbered(rows.withColumn("__o", F.struct(*order)), "__o", "ord")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, text): one prompt a line, stripped, without blank lines."""
-    whole = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value")
-    lines = whole.select("file_path", F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    rows = lines.select("file_path", "at", strip(F.col("line")).alias("text")).where("text != ''")
-    return _numbered(rows, ["file_path", "at"]).select("ord", "text")
+    """(ord, text): one prompt a line, stripped, without blank lines.
+
+    Files are split and read in parallel; within a split the row ids grow, and splits are ordered by file and place.
+    """
+    lines = spark.read.text(path, lineSep="\n").select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"), strip(F.col("value")).alias("text"))
+    return _numbered(lines.where("text != ''"), ["file_path", "file_block_start", "at"]).select("ord", "text")
 
 
 def _elements(spark: SparkSession, path: str, root: str = "$") -> DataFrame:
@@ -59,8 +60,9 @@ def json_prompts(spark: SparkSession, path: str, fields: list[str] | None = None
         rows = rows.select("file_path", "at", "item", F.lit(0).alias("sub"), text.alias("text"))
     if drop_blank:
         rows = rows.withColumn("text", strip(F.col("text"))).where("text != ''")
-    given = F.when(~_is_text(F.col("item")), F.try_variant_get("item", "$.cluster_id", "long"))
-    return _numbered(rows, ["file_path", "at", "sub"]).select("ord", "text", F.coalesce(given, F.col("ord")).alias("cluster_id"))
+    given = F.when(~_is_text(F.col("item")), F.try_variant_get("item", "$.cluster_id", "long")).alias("given")
+    rows = _numbered(rows.select("file_path", "at", "sub", "text", given), ["file_path", "at", "sub"])
+    return rows.select("ord", "text", F.coalesce("given", "ord").alias("cluster_id"))
 
 
 def prompts_or_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,8 @@ To spread the walk over a cluster the 64 levels are cut into ``max_distance`` +
 fingerprints within the budget agree on at least two whole blocks, so for every choice of two
 blocks there is a trie with these levels on top, and its subtries below them, in which both
 fingerprints stand under one node, are joined independently of each other. A subtrie is a run of
-sorted numbers: nodes are ranges, children are found by counting bits.
+sorted numbers: nodes are ranges, children are found by counting bits. A subtrie with many leaves is cut into
+ranges of bounded size, and each pair of ranges that may hold a link is joined on its own.
 
 Of the links found in a subtrie a spanning forest is emitted, never all pairs; a pair of nodes
 whose leaves already are in one component is dropped too, so dense groups of copies don't cost the
@@ -34,6 +35,8 @@ from loomwright.llm import store, words
 from loomwright.llm.components import components
 
 _ONE = np.uint64(1)
+_DENSE = 1 << 18  # leaves that are joined in one piece at most
+_SIGN = np.uint64(1 << 63)
 _FRONTIER = 1 << 17  # pairs of nodes that are expanded at once; a level holds back a few times as many
 
 
@@ -104,17 +107,20 @@ def _reordered(fp: np.ndarray, on_top: list[tuple[int, int]], rest: list[tuple[i
     return out
 
 
-def self_join(leaves: np.ndarray, bounds: np.ndarray, depth: int, budget: int) -> np.ndarray:
+def self_join(leaves: np.ndarray, bounds: np.ndarray, depth: int, budget: int, cuts: np.ndarray | None = None) -> np.ndarray:
     """Component of each leaf, as the index of a leaf in it.
 
     ``leaves`` are distinct and sorted within the subtries [bounds[i], bounds[i + 1]), whose leaves share
-    their first ``depth`` bits.
+    their first ``depth`` bits. With ``cuts``, only leaves before cuts[i] are joined with those behind, where it is above
+    bounds[i].
     """
     n = len(leaves)
     label = np.arange(n)
     lo, hi = bounds[:-1].astype(np.int32), bounds[1:].astype(np.int32)
-    many = hi - lo > 1
-    stack = [(depth, np.stack([lo[many], hi[many], lo[many], hi[many], np.zeros(many.sum(), np.int32)]))]
+    split = np.zeros(len(lo), bool) if cuts is None else cuts > lo
+    end, begin = (np.where(split, lo if cuts is None else cuts, x).astype(np.int32) for x in (hi, lo))
+    many = (hi - lo > 1) & (begin < hi)
+    stack = [(depth, np.stack([lo[many], end[many], begin[many], hi[many], np.zeros(many.sum(), np.int32)]))]
     changes = np.arange(n)
     set_bits: dict[int, np.ndarray] = {}  # by level: leaves before each place whose bit is set
     while stack:
@@ -171,8 +177,60 @@ def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def link_fingerprints(distinct: DataFrame, max_distance: int) -> DataFrame:
-    """(u, v): a spanning forest of the links between rows (fp, rep) with distinct fp, by their rep."""
+class Ranges:
+    """Cuts of the dense subtries: ``last[node]`` has the last leaf of each range but the last one, in signed order."""
+
+    def __init__(self, last: dict[int, np.ndarray], budget: int):
+        self.last, self.budget = last, budget
+        self.nodes = np.array(sorted(last), np.int64)
+
+    def place(self, node: int, leaf: np.ndarray) -> np.ndarray:
+        """The range of each leaf."""
+        return np.searchsorted(self.last[node], leaf)
+
+    def partners(self, node: int, own: int, depth: int, first: int) -> np.ndarray:
+        """Ranges that may hold leaves within the budget of those in ``own``, by the bits that all of a range share.
+
+        ``first`` is a leaf of the node, ``depth`` its number of bits.
+        """
+        cut = self.last[node].view(np.uint64) ^ _SIGN
+        low = np.uint64(first) & ~np.uint64((1 << (64 - depth)) - 1)
+        lo, hi = np.append(low, cut), np.append(cut, low | np.uint64((1 << (64 - depth)) - 1))
+        differ = lo ^ hi
+        for shift in (1, 2, 4, 8, 16, 32):
+            differ |= differ >> np.uint64(shift)
+        shared = ~(differ | differ[own])
+        return np.flatnonzero(np.bitwise_count((lo ^ lo[own]) & shared) <= self.budget)
+
+
+def _dense_ranges(planted: DataFrame, dense: int, budget: int) -> Ranges:
+    """Nodes with more than ``dense`` leaves, of which there are few, cut into ranges of about half as many."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(batch.column("node").to_numpy(), return_counts=True)], ["node", "n"])
+
+    counts = planted.select("node").mapInArrow(tally, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") > dense)
+    # At most one in ``dense`` of all leaves reaches the driver.
+    parts = {r.node: -(-2 * r.n // dense) for r in counts.collect()}
+    if not parts:
+        return Ranges({}, budget)
+    names, most = np.array(sorted(parts), np.int64), max(parts.values())
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.isin(batch.column("node").to_numpy(), names)))
+
+    leaves = planted.select("node", "leaf").mapInArrow(pick, "node long, leaf long")
+    cuts = leaves.groupBy("node").agg(F.percentile_approx("leaf", [i / most for i in range(1, most)], max(10_000, 20 * most)).alias("b")).collect()
+    return Ranges({r.node: np.unique(np.array([r.b[i * most // parts[r.node] - 1] for i in range(1, parts[r.node])], np.int64)) for r in cuts}, budget)
+
+
+def link_fingerprints(distinct: DataFrame, max_distance: int, dense: int = _DENSE) -> DataFrame:
+    """(u, v): a spanning forest of the links between rows (fp, rep) with distinct fp, by their rep.
+
+    ``distinct`` is read up to three times. No task joins more than about ``dense`` leaves at once.
+    """
     blocks = trie_blocks(max_distance)
     tries = []
     for pair in combinations(range(len(blocks)), 2):
@@ -187,39 +245,72 @@ def link_fingerprints(distinct: DataFrame, max_distance: int) -> DataFrame:
                 leaf = _reordered(fp, top, rest)
                 node = (leaf >> np.uint64(64 - depth[t])).astype(np.int64)
                 # Leaves are shifted into the signed order, in which Spark sorts.
-                signed = (leaf ^ np.uint64(1 << 63)).view(np.int64)
+                signed = (leaf ^ _SIGN).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(node + (t << 40)), pa.array(signed), batch.column("rep")], ["node", "leaf", "rep"])
 
+    planted = distinct.mapInArrow(plant, "node long, leaf long, rep long")
+    # A table of fewer rows has no dense node.
+    ranges = _dense_ranges(planted, dense, max_distance) if distinct.count() > dense else Ranges({}, max_distance)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the cell of a leaf, two ranges of its node; a leaf of a dense node is in several."""
+        for batch in batches:
+            node, leaf = (batch.column(c).to_numpy() for c in ("node", "leaf"))
+            isin = np.isin(node, ranges.nodes)
+            rows, lows, highs = [np.flatnonzero(~isin)], [np.zeros((~isin).sum(), np.int32)], [np.zeros((~isin).sum(), np.int32)]
+            for name in np.unique(node[isin]).tolist():
+                mine = np.flatnonzero(node == name)
+                place = ranges.place(name, leaf[mine])
+                first = int(leaf[mine[0]].view(np.uint64) ^ _SIGN)
+                for own in np.unique(place).tolist():
+                    here, other = mine[place == own], ranges.partners(name, own, depth[name >> 40], first).astype(np.int32)
+                    rows.append(np.repeat(here, len(other)))
+                    lows.append(np.tile(np.minimum(other, own), len(here)))
+                    highs.append(np.tile(np.maximum(other, own), len(here)))
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("node", "leaf", "rep")], pa.array(np.concatenate(lows)), pa.array(np.concatenate(highs))], ["node", "leaf", "rep", "low", "high"])
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         rows = 0
 
         def solve(all_rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Joins whole subtries; those of one trie together."""
-            node, signed, rep = all_rows
+            """Joins whole cells; those of one trie together."""
+            node, cell, signed, rep = all_rows
             for t in np.unique(node >> 40).tolist():
                 mine = node >> 40 == t
-                own, leaf, ids = node[mine], signed[mine].view(np.uint64) ^ np.uint64(1 << 63), rep[mine]
-                bounds = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
-                label = self_join(leaf, bounds, depth[t], max_distance)
+                own, where, order, ids = node[mine], cell[mine], signed[mine], rep[mine]
+                bounds = np.concatenate([[0], np.flatnonzero((own[1:] != own[:-1]) | (where[1:] != where[:-1])) + 1, [len(own)]])
+                cuts = np.zeros(len(bounds) - 1, np.int64)
+                for i in np.flatnonzero(where[bounds[:-1]] >> 32 != where[bounds[:-1]] & 0xFFFFFFFF).tolist():
+                    a, b = bounds[i : i + 2]
+                    low = where[a] >> 32
+                    # A cell without leaves in its lower range has no pairs: the cut before it all leaves none.
+                    cuts[i] = a + np.searchsorted(order[a:b], ranges.last[int(own[a])][low], side="right")
+                    if cuts[i] == a:
+                        cuts[i] = b
+                label = self_join(order.view(np.uint64) ^ _SIGN, bounds, depth[t], max_distance, cuts)
                 moved = np.flatnonzero(label != np.arange(len(label)))
                 if len(moved):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["u", "v"])
 
         for batch in batches:
-            held.append(np.stack([batch.column(c).to_numpy() for c in ("node", "leaf", "rep")]))
-            rows += held[-1].shape[1]
+            node, low, high, leaf, rep = (batch.column(c).to_numpy() for c in ("node", "low", "high", "leaf", "rep"))
+            held.append(np.stack([node, (low.astype(np.int64) << 32) + high, leaf, rep]))
+            rows += len(node)
             if rows >= 1 << 17:
                 joined = np.concatenate(held, axis=1)
-                cut = np.searchsorted(joined[0], joined[0, -1])
+                last = np.flatnonzero((joined[0] != joined[0, -1]) | (joined[1] != joined[1, -1]))
+                cut = int(last[-1]) + 1 if len(last) else 0
                 yield from solve(joined[:, :cut])
                 held, rows = [joined[:, cut:]], joined.shape[1] - cut
         if rows:
             yield from solve(np.concatenate(held, axis=1))
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    planted = distinct.mapInArrow(plant, "node long, leaf long, rep long")
-    return planted.repartition(n, "node").sortWithinPartitions("node", "leaf").mapInArrow(join, "u long, v long")
+    dealt = planted.mapInArrow(deal, "node long, leaf long, rep long, low int, high int")
+    cells = dealt.repartition(n, "node", "low", "high").sortWithinPartitions("node", "low", "high", "leaf")
+    return cells.mapInArrow(join, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:

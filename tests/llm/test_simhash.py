@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loomwright.llm.components import components
-from loomwright.llm.simhash import hex_fingerprint, near_duplicates, self_join
+from loomwright.llm.simhash import Ranges, hex_fingerprint, link_fingerprints, near_duplicates, self_join
 
 
 def brute_fp(t, k):
@@ -46,6 +46,35 @@ def test_trie_join_finds_every_component():
         assert label.tolist() == roots(len(v), near)
 
 
+@pytest.mark.parametrize("dense", [8, 60, 1 << 18])
+def test_dense_subtries_are_split(spark, dense):
+    rng = np.random.default_rng(7)
+    # Half of the fingerprints share their first 30 bits, so that some subtries of many tries are dense.
+    v = rng.integers(0, 1 << 62, 700, dtype=np.uint64)
+    v[:350] = (np.uint64(0xABCDEF1) << np.uint64(34)) | (v[:350] & np.uint64((1 << 18) - 1))
+    v = np.unique(v)
+    df = spark.createDataFrame([(int(x.view(np.int64)), i) for i, x in enumerate(v)], "fp long, rep long").repartition(3)
+    links = [(r.u, r.v) for r in link_fingerprints(df, 4, dense).collect()]
+    near = [(i, j) for i in range(len(v)) for j in range(i) if bin(int(v[i] ^ v[j])).count("1") <= 4]
+    assert roots(len(v), links) == roots(len(v), near)
+    assert len(set(roots(len(v), near))) < len(v)
+
+
+def test_ranges_keep_all_that_may_link():
+    rng = np.random.default_rng(3)
+    leaf = np.unique((np.uint64(0x2A5) << np.uint64(54)) | rng.integers(0, 1 << 54, 400, dtype=np.uint64))
+    signed = (leaf ^ np.uint64(1 << 63)).view(np.int64)
+    ranges = Ranges({5: signed[19:-1:20]}, 4)
+    place = ranges.place(5, signed)
+    assert np.bincount(place).max() == 20
+    partners = [set(ranges.partners(5, i, 10, int(leaf[0])).tolist()) for i in range(place.max() + 1)]
+    for i in range(len(leaf)):
+        for j in range(i):
+            if bin(int(leaf[i] ^ leaf[j])).count("1") <= 4:
+                assert place[j] in partners[place[i]] and place[i] in partners[place[j]]
+    assert all(i in p for i, p in enumerate(partners)) and all((i in partners[j]) == (j in partners[i]) for i in range(len(partners)) for j in range(i))
+
+
 def texts():
     rng = random.Random(4)
     vocab = ["w%d" % i for i in range(500)] + ["Élan", "É", "x-y"]

@@ -253,8 +253,8 @@ def link_fingerprints(distinct: DataFrame, max_distance: int, dense: int = _DENS
     ranges = _dense_ranges(planted, dense, max_distance) if distinct.count() > dense else Ranges({}, max_distance)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the cell of a leaf, two ranges of its node; a leaf of a dense node is in several."""
-        for batch in batches:
+        """Plants, and adds the cell of a leaf, two ranges of its node; a leaf of a dense node is in several."""
+        for batch in plant(batches):
             node, leaf = (batch.column(c).to_numpy() for c in ("node", "leaf"))
             isin = np.isin(node, ranges.nodes)
             rows, lows, highs = [np.flatnonzero(~isin)], [np.zeros((~isin).sum(), np.int32)], [np.zeros((~isin).sum(), np.int32)]
@@ -308,7 +308,7 @@ def link_fingerprints(distinct: DataFrame, max_distance: int, dense: int = _DENS
             yield from solve(np.concatenate(held, axis=1))
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = planted.mapInArrow(deal, "node long, leaf long, rep long, low int, high int")
+    dealt = distinct.mapInArrow(deal, "node long, leaf long, rep long, low int, high int")
     cells = dealt.repartition(n, "node", "low", "high").sortWithinPartitions("node", "low", "high", "leaf")
     return cells.mapInArrow(join, "u long, v long")
 

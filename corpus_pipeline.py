@@ -48,10 +48,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     compared.
     """
     groups = near_copies.near_copies(docs, shingle=SHINGLE, max_distance=DISTANCE)
-    first = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("row").alias("__first")).distinct()
-    rows = docs.withColumn("__row", near_copies.row_hash("doc_id", "text")).withColumn("__key", F.col("doc_id"))
-    mine = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__first"))
-    return rows.join(first, mine, "left_semi").dropDuplicates(["__key", "__row"]).select(*COLUMNS)
+    # Null ids are compared as 0 and a flag: plain equalities, so that one exchange of the texts serves the join and the repeats.
+    key = {"__id": F.coalesce("__k", F.lit(0)), "__null": F.isnull("__k")}
+    first = groups.where("kept").select(F.col("doc_id").cast("long").alias("__k"), F.col("row").alias("__row")).withColumns(key).drop("__k").distinct()
+    rows = docs.withColumn("__row", near_copies.row_hash("doc_id", "text")).withColumn("__k", F.col("doc_id").cast("long")).withColumns(key)
+    same = ["__id", "__null", "__row"]
+    return rows.join(first, same, "left_semi").dropDuplicates(same).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Texts with the same set of shingles are one node. Two sets with a similarity of
 n - ceil(4n/5) + 1 shingles in any order that holds for all sets; so each such shingle is a bucket, and the pairs
 within buckets are all that there are to test. The order puts shingles that are common in a sample last, which
 keeps buckets small and changes no result. Lengths, places and a 512-bit parity sketch rule out pairs
-that can't reach the threshold; what is left is decided on the whole sets.
+that can't reach the threshold. Pairs left are compared by parities at two places or more a shingle, a sixteenth or an eighth of
+the sets, and what passes, of which few are no copies, is decided on the whole sets.
 
 Buckets are read twice: first each node meets the first of its bucket (and its SimHash links), and what passes is
 joined; then only pairs across components are tested, so a large group of copies doesn't cost its square.
@@ -18,7 +19,7 @@ text are read. Equality of shingles is that of 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,27 @@ def _sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s >> np.uint64(7)).astype(np.int64) % _SKETCH, minlength=_SKETCH) & 1 == 1).tobytes()
 
 
+def _parities(s: np.ndarray) -> bytes:
+    """A sketch like ``_sketch`` with a power of two of places, two a shingle at least."""
+    places = max(_SKETCH, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s >> np.uint64(7)).astype(np.int64) & (places - 1), minlength=places) & 1 == 1).tobytes()
+
+
+def _may_reach(x: bytes, y: bytes, both: int) -> bool:
+    """Whether sets with these parities, of ``both`` shingles together, may have a similarity of 4/5."""
+    x, y = (np.frombuffer(z, np.uint64) for z in (x, y))
+    small = min(len(x), len(y))
+    # Folded, the longer sketch is that of its set with fewer places.
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, small), axis=0) for z in (x, y))
+    return bool(9 * np.bitwise_count(x ^ y).sum(dtype=np.int64) <= both)
+
+
+def _reaches(x: bytes, y: bytes, both: int) -> bool:
+    """Whether two sets have a similarity of 4/5."""
+    x, y = (np.frombuffer(z, np.uint64) for z in (x, y))
+    return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * both
+
+
 def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
     """(k, r, node, n, sketch, fp) of each row."""
 
@@ -185,30 +207,41 @@ def _pairs(rows: DataFrame, partitions: int, first_only: bool) -> DataFrame:
     return dealt.mapInArrow(meet, "u long, v long")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """Those of the pairs of nodes whose sets have a similarity of 4/5 or more."""
+def _candidates(pairs: DataFrame) -> DataFrame:
+    """Each pair once, the smaller node first."""
+    return pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _passing(tables: store.Tables, pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, describe: Callable[[np.ndarray], bytes], test: Callable[[bytes, bytes, int], bool]) -> DataFrame:
+    """Those of the pairs whose sets, as described, pass the test; the table of the pairs goes."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            sets = list(shingle_sets(batch.column("t"), shingle))
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "s"])
+            sets = [(_node(s), len(s), describe(s)) for s in shingle_sets(batch.column("t"), shingle)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*sets, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["node", "n", "s"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            yes = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                yes.append(5 * shared >= 4 * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(yes, pa.bool_())) for c in ("u", "v")], ["u", "v"])
-
-    pairs = store.materialize(pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    wanted = store.materialize(nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", "rep"), "wanted")
+            x, y, both = (batch.column(c) for c in ("x", "y", "both"))
+            yes = pa.array([test(a.as_buffer(), b.as_buffer(), n.as_py()) for a, b, n in zip(x, y, both, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(yes) for c in ("u", "v")], ["u", "v"])
+
+    wanted = tables.put(nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", "rep"), "wanted")
     # Repeated rows have one set: it stays once.
-    sets = docs.join(wanted.select(F.col("rep").alias("r")).distinct(), "r", "left_semi").select("t").mapInArrow(gather, "node long, s binary")
-    sets = store.materialize(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    full = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("y")), "v")
-    return store.materialize(full.select("u", "v", "x", "y").mapInArrow(decide, "u long, v long"), "similar")
+    sets = docs.join(wanted.select(F.col("rep").alias("r")).distinct(), "r", "left_semi").select("t").mapInArrow(gather, "node long, n long, s binary")
+    sets = tables.put(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    one, other = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(s)) for c, s in (("u", "x"), ("v", "y")))
+    full = pairs.join(one, "u").join(other, "v").select("u", "v", "x", "y", (F.col("nu") + F.col("nv")).alias("both"))
+    out = tables.put(full.mapInArrow(decide, "u long, v long"), "passing")
+    tables.drop(wanted, sets, pairs)
+    return out
+
+
+def _similar(tables: store.Tables, pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """Those of the pairs of nodes whose sets have a similarity of 4/5 or more."""
+    close = _passing(tables, pairs, docs, nodes, shingle, _parities, _may_reach)
+    return _passing(tables, close, docs, nodes, shingle, np.ndarray.tobytes, _reaches)
 
 
 def row_hash(key: str, text: str) -> Column:
@@ -220,38 +253,47 @@ def near_copies(docs: DataFrame, shingle: int = 5, max_distance: int = 8, key: s
     """Returns key, row (its row_hash), component_id (smallest key reachable by similarities of 4/5 or more) and kept for
     each row: of a component, the row with the smallest key and of those the one with the smallest hash is kept.
 
-    Batches for Python are small meanwhile: pairs bring two sets each, which stand outside of the heap.
+    Batches for Python are small meanwhile: pairs bring two sets each, which stand outside of the heap. A job's shuffle files
+    go when it ends, not when the driver happens to collect its garbage.
     """
-    with store.settings(docs.sparkSession, spark_sql_execution_arrow_maxBytesPerBatch="8m"):
+    small, clean = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with store.settings(docs.sparkSession, **{small: "8m", clean: "true"}):
         return _near_copies(docs, shingle, max_distance, key, text)
 
 
 def _near_copies(docs: DataFrame, shingle: int, max_distance: int, key: str, text: str) -> DataFrame:
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tables = store.Tables(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("k"), row_hash(key, text).alias("r"), F.col(text).alias("t"))
-    marked = store.materialize(_nodes(rows, shingle), "shingle-nodes")
-    by_node = [F.min("r").alias("rep"), F.min("k").alias("least"), F.min("n").alias("n"), F.min("sketch").alias("sketch")]
-    nodes = store.materialize(marked.groupBy("node").agg(*by_node), "distinct-sets")
+    marked = tables.put(_nodes(rows, shingle), "shingle-nodes")
+    by_node = [F.min("r").alias("rep"), F.min("k").alias("least"), F.min("sketch").alias("sketch")]
+    nodes = tables.put(marked.groupBy("node").agg(*by_node), "distinct-sets")
 
     # SimHash: the nodes of a fingerprint with the least of them, and the links of these.
     prints = marked.select("fp", "node").distinct()
-    least = store.materialize(prints.groupBy("fp").agg(F.min("node").alias("rep")), "distinct-fingerprints")
+    least = tables.put(prints.groupBy("fp").agg(F.min("node").alias("rep")), "distinct-fingerprints")
     guessed = prints.join(least, "fp").select(F.col("node").alias("u"), F.col("rep").alias("v"))
     guessed = guessed.unionAll(simhash.link_fingerprints(least, max_distance))
 
     common = _common(rows, marked.count(), shingle)
-    shared = store.materialize(_shared(_plant(rows, common, shingle), partitions), "shared-shingles")
+    shared = tables.put(_shared(_plant(rows, common, shingle), partitions), "shared-shingles")
     seen = shared.join(nodes.select("node", "sketch"), "node")
     stars = _pairs(seen.withColumn("label", F.col("node")), partitions, True)
-    links = _similar(stars.unionAll(guessed), rows, nodes, shingle)
+    met = tables.put(_candidates(stars.unionAll(guessed)), "pairs")
+    tables.drop(least)
+    links = _similar(tables, met, rows, nodes, shingle)
     joined = components(links).withColumnRenamed("u", "node").withColumnRenamed("v", "to")
     labelled = seen.join(joined, "node", "left").withColumn("label", F.coalesce("to", "node")).drop("to")
-    links = links.unionAll(_similar(_pairs(labelled, partitions, False), rows, nodes, shingle))
+    across = tables.put(_candidates(_pairs(labelled, partitions, False)), "pairs")
+    tables.drop(shared)
+    links = links.unionAll(_similar(tables, across, rows, nodes, shingle))
 
     joined = components(links).withColumnRenamed("u", "node").withColumnRenamed("v", "to")
-    named = store.materialize(nodes.select("node", "least").join(joined, "node", "left").select("node", "least", F.coalesce("to", "node").alias("to")), "named")
-    named = named.select("node", "to").join(named.groupBy("to").agg(F.min("least").alias("component_id")), "to")
-    member = store.materialize(marked.select("k", "r", "node").join(named, "node"), "members")
+    named = tables.put(nodes.select("node", "least").join(joined, "node", "left").select("node", "least", F.coalesce("to", "node").alias("to")), "named")
+    by_name = named.select("node", "to").join(named.groupBy("to").agg(F.min("least").alias("component_id")), "to")
+    # The one table that stays: the result reads it.
+    member = store.materialize(marked.select("k", "r", "node").join(by_name, "node"), "members")
+    tables.drop(*tables.paths)
     # Few rows have their component's key, so this is little to shuffle whatever the group's size.
     first = member.where(F.col("k").eqNullSafe(F.col("component_id"))).groupBy("to").agg(F.min("r").alias("first"))
     kept = F.col("k").eqNullSafe(F.col("component_id")) & (F.col("r") == F.col("first"))

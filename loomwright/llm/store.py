@@ -60,6 +60,25 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Tables:
+    """Intermediate tables of a long plan, each removed as soon as no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[DataFrame, str] = {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Like ``materialize``, for ``drop``."""
+        path = save(df, name)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[table] = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            drop(self.spark, self.paths.pop(table))
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings for the jobs inside; names have _ for dots."""

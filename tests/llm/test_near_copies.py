@@ -3,6 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+
+from loomwright.llm import near_copies, store
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -91,3 +94,36 @@ def test_rows_without_ids_and_rows_of_one_id(spark):
 
 def test_empty(spark):
     assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_disk_of_the_stage(spark, monkeypatch, tmp_path):
+    """Tables go once they are read, and the texts are dealt out once for both the join and the repeated rows."""
+    monkeypatch.setattr(store, "shared_dir", lambda _: str(tmp_path))
+    _, make = corpus(6)
+    texts = [" ".join(make(40)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts + texts[:9])], SCHEMA).repartition(3)
+    with store.settings(spark, spark_sql_autoBroadcastJoinThreshold="-1"):
+        out = corpus_pipeline.drop_near_copies(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "loomwright").iterdir()}
+    assert "members" in left and left <= {"members", "links", "lowest"}  # the last two are of the components, some rows
+    key = plan[: plan.index("LeftSemi")]
+    assert key.count("Exchange hashpartitioning") == 0, "a second exchange of the texts above the join"
+    assert {r.doc_id for r in out.collect()} == set(range(30))
+
+
+def test_parities_keep_all_similar_pairs_and_few_others():
+    rng = np.random.default_rng(7)
+    for n in (1, 4, 9, 60, 900, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for other in (n, n * 4 // 5, n * 5 // 4):  # sketches of one length and of two
+            for share in (0.0, 0.3, 0.6, 0.88, 0.9, 1.0):
+                shared = a[: int(min(n, other) * share)]
+                b = np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, max(other - len(shared), 0), dtype=np.uint64)]))
+                x, y, both = near_copies._parities(a), near_copies._parities(b), len(a) + len(b)
+                assert len(x) <= max(64, len(a)) and len(y) <= max(64, len(b))
+                true = 9 * len(np.intersect1d(a, b)) >= 4 * both
+                assert near_copies._reaches(a.tobytes(), b.tobytes(), both) == true
+                assert near_copies._may_reach(x, y, both) or not true
+                if n >= 60 and share <= 0.6:
+                    assert not near_copies._may_reach(x, y, both)

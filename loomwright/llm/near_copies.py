@@ -31,14 +31,16 @@ from loomwright.llm.components import components
 
 _SKETCH = 512
 _SAMPLE, _COMMON = 20_000, 100_000  # rows sampled for the order; shingles it puts last
-_CHUNK = 1 << 18  # pairs compared at once
+_CHUNK = 1 << 16  # pairs compared at once
 _BYTES, _ROWS = 1 << 18, 1024  # texts handled at once
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words.release()
     for batch in batches:
         for row in range(0, len(batch), _ROWS):
             yield batch.slice(row, _ROWS)
+    words.release()
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -91,7 +93,7 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in _slices(batches):
             sets = [(_node(s), len(s), _sketch(s)) for s in shingle_sets(batch.column("t"), shingle)]
             node, n, sketch = zip(*sets, strict=True) if sets else ((), (), ())
-            fp = simhash.fingerprints(batch.column("t"), shingle).view(np.int64)
+            fp = simhash.fingerprints(batch.column("t"), shingle, _BYTES).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("r"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(fp)], ["k", "r", "node", "n", "sketch", "fp"])
 
     return docs.mapInArrow(mark, "k long, r long, node long, n int, sketch binary, fp long")
@@ -148,6 +150,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+        held = []
+    words.release()
 
 
 def _shared(planted: DataFrame, partitions: int) -> DataFrame:
@@ -257,7 +261,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, max_distance: int = 8, key: s
     go when it ends, not when the driver happens to collect its garbage.
     """
     small, clean = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    with store.settings(docs.sparkSession, **{small: "8m", clean: "true"}):
+    with store.settings(docs.sparkSession, **{small: "2m", clean: "true"}):
         return _near_copies(docs, shingle, max_distance, key, text)
 
 

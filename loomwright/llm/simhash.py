@@ -54,12 +54,12 @@ def _normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, words.W
     return data[keep].tobytes(), words.Words(data, offsets, moved[w.start], moved[w.end - 1] + 1 if len(w.end) else w.end, w.first)
 
 
-def fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
-    """64-bit fingerprint of each text."""
+def fingerprints(column: pa.Array, shingle: int, max_bytes: int = 1 << 21) -> np.ndarray:
+    """64-bit fingerprint of each text; texts of ``max_bytes`` together, or one, are handled at once."""
     from xxhash import xxh64_digest
 
     out = np.zeros(len(column), np.uint64)
-    for row, data, offsets in words.blocks(column, 1 << 21, lower=True):
+    for row, data, offsets in words.blocks(column, max_bytes, lower=True):
         body, w = _normal_words(data, offsets)
         count = np.diff(w.first)
         shingles = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))

@@ -7,6 +7,7 @@ from prefix sums, so a text costs a few array passes whatever its number of word
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -120,6 +121,14 @@ def split_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Wo
     return Words(data, offsets, start, end, np.searchsorted(start, offsets))
 
 
+def release() -> None:
+    """Gives what a worker has freed back to the system: a worker lives on between tasks, and allocators keep what they had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def blocks(column: pa.Array, max_bytes: int = 1 << 22, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Splits a string column into runs of whole documents of at most ``max_bytes`` (or one document).
 

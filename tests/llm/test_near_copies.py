@@ -1,11 +1,13 @@
 """Near copies against brute force on exact shingle sets."""
 
 import random
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 
-from loomwright.llm import near_copies, store
+from loomwright.llm import near_copies, simhash, store, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -127,3 +129,24 @@ def test_parities_keep_all_similar_pairs_and_few_others():
                 assert near_copies._may_reach(x, y, both) or not true
                 if n >= 60 and share <= 0.6:
                     assert not near_copies._may_reach(x, y, both)
+
+
+def test_marking_takes_little_memory_at_once():
+    """A worker stands beside the executor's heap: neither the texts of a batch nor what it has freed pile up in it."""
+    _, make = corpus(8)
+    texts = pa.array([" ".join(make(400)) for _ in range(900)])
+    tracemalloc.start()
+    small = simhash.fingerprints(texts, 5, near_copies._BYTES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    assert (small == simhash.fingerprints(texts, 5)).all()
+    freed = []
+    words.release, before = (lambda: freed.append(1)), words.release
+    try:
+        batch = pa.RecordBatch.from_arrays([texts], ["t"])
+        assert sum(len(b) for b in near_copies._slices(iter([batch]))) == 900
+    finally:
+        words.release = before
+    assert len(freed) == 2
+    words.release()

@@ -327,10 +327,12 @@ def prompt_bundle(spark, sf_dir):
 
 @query
 def unstemmed_overlap(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", word_set(F.col("text")).alias("w"))
-    # One row for each language.
-    first = docs.groupBy("lang").agg(F.min(F.struct("doc_id", "w"))["w"].alias("f"))
-    return docs.join(first, "lang").select("doc_id", jaccard(F.col("w"), F.col("f")).alias("overlap"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    # One row for each language; found by its key first, so that no text but these is moved.
+    least = docs.groupBy("lang").agg(F.min("doc_id").alias("least"))
+    chosen = docs.join(F.broadcast(least), "lang").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    first = chosen.groupBy("lang").agg(word_set(F.min("text")).alias("f"))
+    return spread(docs).join(F.broadcast(first), "lang").select("doc_id", jaccard(word_set(F.col("text")), F.col("f")).alias("overlap"))
 
 
 @query

@@ -93,3 +93,23 @@ def test_overlap_and_tokens(spark):
     df = spark.createDataFrame([("a b c", "b c D"), ("", "a"), ("A a", "a")], "x string, y string")
     got = df.select(T.jaccard(T.word_set(F.col("x")), T.word_set(F.col("y"))), T.token_count(F.col("x"))).collect()
     assert [tuple(r) for r in got] == [(0.5, 3), (0.0, 0), (1.0, 2)]
+
+
+def test_scores_add_losses_in_token_order(spark, monkeypatch):
+    """Equal segments score alike wherever they stand, to the last digit, with and without rare tokens."""
+    import math
+
+    from loomwright.operators import scoring
+
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[(i * 7 + j * j) % 40] for j in range(25)) + ". " + " ".join(words[(i * 3 + j) % 40] for j in range(9)) + "." for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string").repartition(5)
+    for most in (1_000_000, 20):
+        monkeypatch.setattr(scoring, "BROADCAST_TOKENS", most)
+        rows, model = scoring.score(df)
+        counts = {r.token: r.c for r in model.table.collect()}
+        for r in rows.collect():
+            total = 0.0
+            for t in r.segment.split()[1:]:
+                total += -math.log((counts[t] + 1) / float(model.total + model.distinct))
+            assert r.score == math.floor(math.exp(total / (len(r.segment.split()) - 1)) * 1e9 + 0.5) / 1e9

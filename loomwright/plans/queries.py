@@ -38,7 +38,8 @@ def query(build: Query) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = build(spark, sf_dir)
-        return df.withColumns({c: F.round(c, 6) for c in ROUNDED[build.__name__]}) if build.__name__ in ROUNDED else df
+        # As SQL rounds: the product to a whole number, not the decimal digits that are shown.
+        return df.withColumns({c: F.round(F.col(c) * 1e6, 0) / 1e6 for c in ROUNDED[build.__name__]}) if build.__name__ in ROUNDED else df
 
     run.__name__ = build.__name__
     QUERIES[build.__name__] = run
